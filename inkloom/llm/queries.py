@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .components import connected_components
+from .encoding import encode, token_counts
+from .mixing import mix_sources
+from .names import link_names, linked_pairs
 from .neardup import near_duplicate_pairs
 from .spans import expand_pairs, shared_coverage, shared_span_pairs
 from .splitting import split_oversized
+from .subjects import assign_subjects, train
 from .survivors import Field, current_rows, descending, survivorship
 from .visual import lookalike_pairs
 
@@ -127,8 +131,59 @@ WHERE length(content) > k.max_chars AND id IS NOT NULL
 """
 
 
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "entities").filter(F.col("entity_type").isin("character", "organization"))
+    spellings = F.concat(F.array("name", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return link_names(e, "series_id", "entity_type", "id", spellings)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one series that denote the same person or organisation."""
+    return linked_pairs(_named(spark, d)).select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    """For each named row the smallest id of those that denote the same one."""
+    links = _named(spark, d)
+    first = links.groupBy("entity_key").agg(F.min("id").alias("group_id"))
+    return links.join(first, "entity_key").select(F.col("id").alias("entity_id"), "group_id")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every text."""
+    return encode(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    sources = docs.select("doc_id", "source")
+    sizes = token_counts(docs, "doc_id", "text", "byte_bpe_50k").join(sources, "doc_id")
+    return mix_sources(sizes, table(spark, d, "source_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents the mix holds, and how often."""
+    return _mixed(spark, d)[0].select("doc_id", "source", "copies", "n_tokens")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source has of the mix, beside its target."""
+    return _mixed(spark, d)[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of each document."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+    return assign_subjects(docs, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_groups, p3_found, p4_found, p5_found, p6_found, p6_pieces)}
+    every = (
+        p1_found, p1_coverage, p2_found, p2_groups, p3_found, p4_found, p5_found, p6_found, p6_pieces,
+        p7_found, p7_entities, p8_ids, p9_mix, p9_report, p10_found,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
