@@ -131,34 +131,28 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(targets, pa.list_(pa.int32())), pa.array(feats, pa.list_(pa.int32()))], ["doc", "labels", "features"])
 
 
-def _gradients(state, subjects: int, keep: float | None):
-    """Sums over a partition: of the embeddings' gradient, of the outputs', of
-    the loss, and the number of sentences. keep: a label holds for those
-    sentences alone that the model gives at least this chance, or, if a
-    document has none, for its best one."""
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each."""
+    return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+
+
+def _gradients(state, subjects: int):
+    """Sums over a partition: of the embeddings' gradient (of the features met),
+    of the outputs' and offsets' gradients, and the number of sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, w, c, known, teacher = state.value
-        ge, gw, gc, loss, n = np.zeros_like(e), np.zeros_like(w), np.zeros_like(c), 0.0, 0
+        e, w, c = state.value
+        ge, gw, gc, n = np.zeros_like(e), np.zeros_like(w), np.zeros_like(c), 0
         for batch in batches:
             k = batch.num_rows
             if not k:
                 continue
-            lists = batch.column(2)
-            b, o = _known(known, lists.flatten().to_numpy(), np.repeat(np.arange(k), np.diff(lists.offsets.to_numpy())))
-            labels = batch.column(1)
+            b, o = _lists(batch.column(2))
+            label, row = _lists(batch.column(1))
             y = np.zeros((k, subjects), dtype=np.float32)
-            y[np.repeat(np.arange(k), np.diff(labels.offsets.to_numpy())), labels.flatten().to_numpy()] = 1
+            y[row, label] = 1
             h, count = _means(e, b, o, k)
-            z = h @ w + c
-            weight = np.ones((k, 1), dtype=np.float32)
-            if keep is not None:
-                te, tw, tc = teacher
-                p = _sigmoid(_means(te, b, o, k)[0] @ tw + tc)
-                y *= p >= keep
-            p = _sigmoid(z)
-            d = (p - y) * weight
-            loss += float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).sum())
+            d = _sigmoid(h @ w + c) - y
             gw += h.T @ d
             gc += d.sum(axis=0)
             dh = (d @ w.T) / np.maximum(count, 1)[:, None]
@@ -169,7 +163,38 @@ def _gradients(state, subjects: int, keep: float | None):
                 ge[sb[first]] += np.add.reduceat(dh[o[order]], first, axis=0)
             n += k
         used = np.flatnonzero(np.abs(ge).sum(axis=1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (used.tobytes(), ge[used].tobytes(), gw.tobytes(), gc.tobytes(), np.array([loss, n]).tobytes())], ["at", "ge", "gw", "gc", "sums"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in (used, ge[used], gw, gc)), pa.array([n], pa.int64())], ["at", "ge", "gw", "gc", "n"])
+
+    return run
+
+
+def _compact(known: np.ndarray):
+    """Features that are known, numbered among these."""
+    number = np.cumsum(known) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, o = _lists(batch.column(2))
+            b, o = _known(known, b, o)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(o, minlength=batch.num_rows)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(number[b].astype(np.int32)))], ["doc", "labels", "features"])
+
+    return run
+
+
+def _borne_out(state, subjects: int, keep: float):
+    """Of each sentence those of its document's labels that the model gives at
+    least this chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, w, c = state.value
+        for batch in batches:
+            k = batch.num_rows
+            label, row = _lists(batch.column(1))
+            p = _sigmoid(_means(e, *_lists(batch.column(2)), k)[0] @ w + c)
+            good = p[row, label] >= keep
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[good], minlength=k)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(label[good].astype(np.int32))), batch.column(2)], ["doc", "labels", "features"])
 
     return run
 
@@ -196,34 +221,33 @@ class Model:
         self.subjects, self.e, self.w, self.c, self.known = subjects, e, w, c, known
 
 
-def _descend(spark, data: DataFrame, names: list[str], rounds: int, rate: float, seed: int, known: np.ndarray, teacher=None, keep=None, start=None, decay: float = DECAY) -> Model:
+def _descend(spark, data: DataFrame, subjects: int, size: int, rounds: int, rate: float, seed: int, start: list[np.ndarray] | None = None, decay: float = DECAY) -> list[np.ndarray]:
+    """Embeddings, outputs and offsets after so many rounds of full gradients,
+    summed over all partitions (Adam)."""
     rng = np.random.default_rng(seed)
-    if start is None:
-        params = [rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, len(names))).astype(np.float32), np.full(len(names), -2.0, dtype=np.float32)]
-    else:
-        params = [x.copy() for x in (start.e, start.w, start.c)]
+    params = start or [rng.normal(0, 0.1, (size, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, subjects)).astype(np.float32), np.full(subjects, -2.0, dtype=np.float32)]
+    params = [x.copy() for x in params]
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, rounds + 1):
-        shared = spark.sparkContext.broadcast((*params, known, teacher))
+        shared = spark.sparkContext.broadcast(params)
         # a row for each partition of the bounded sample, as large as the model at most
-        parts = data.mapInArrow(_gradients(shared, len(names), keep), "at binary, ge binary, gw binary, gc binary, sums binary").collect()
-        shared.unpersist()
+        parts = data.mapInArrow(_gradients(shared, subjects), "at binary, ge binary, gw binary, gc binary, n long").collect()
+        shared.destroy()
         sums = [np.zeros_like(x) for x in params]
-        n = 0.0
+        n = sum(r["n"] for r in parts)
+        if not n:
+            break
         for r in parts:
             sums[0][np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["ge"], np.float32).reshape(-1, DIM)
             sums[1] += np.frombuffer(r["gw"], np.float32).reshape(sums[1].shape)
             sums[2] += np.frombuffer(r["gc"], np.float32)
-            n += np.frombuffer(r["sums"])[1]
-        if not n:
-            break
         for x, g, a, b in zip(params, sums, m, v):
             g /= n
             g += decay * x if x.ndim > 1 else 0
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    return Model(names, *params, known)
+    return params
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 24, rate: float = 0.1, seed: int = 7, labelled_docs: int = LABELLED_DOCS) -> Model:
@@ -246,9 +270,16 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str =
     for r in data.mapInArrow(_doc_counts, "counts binary").collect():  # a row for each of the sample's partitions
         counts += np.frombuffer(r["counts"], np.int32)
     known = counts >= MIN_DOCS
-    first = _descend(spark, data, names, rounds, rate, seed, known)
-    second = _descend(spark, data, names, rounds, rate / 2, seed, known, teacher=(first.e, first.w, first.c), keep=CHANCE, start=first)
-    return second
+    kinds = "doc long, labels array<int>, features array<int>"
+    sentences_of = scratch.keep(data.mapInArrow(_compact(known), kinds))
+    first = _descend(spark, sentences_of, len(names), int(known.sum()), rounds, rate, seed)
+    teacher = spark.sparkContext.broadcast(first)
+    kept = scratch.keep(sentences_of.mapInArrow(_borne_out(teacher, len(names), CHANCE), kinds))
+    teacher.destroy()
+    e, w, c = _descend(spark, kept, len(names), int(known.sum()), rounds, rate / 2, seed, start=first)
+    table = np.zeros((BUCKETS, DIM), dtype=np.float32)
+    table[known] = e
+    return Model(names, table, w, c, known)
 
 
 def _score(state, names: list[str], chance: float, share: float):
