@@ -76,7 +76,7 @@ def highlight_spans(col: str, query_terms: list[str]) -> Column:
     spans = []
     for t in query_terms:
         pieces = F.split(low, F.lit("\\Q" + t.lower() + "\\E"), -1)
-        ends = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(-len(t))) + len(t) + F.length(p))))
+        ends = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-len(t))) + len(t) + F.length(p))))
         spans.append(F.transform(ends, lambda s: F.struct(s.alias("start"), (s + len(t)).alias("end"))))
     return F.flatten(F.array(*spans))
 
