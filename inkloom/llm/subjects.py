@@ -29,6 +29,8 @@ LABELLED_DOCS = 20_000
 MIN_DOCS = 3
 #: Pull of the embeddings and outputs towards zero.
 DECAY = 1e-5
+#: Spread of the first embeddings, and the gradient below which a step is damped.
+INIT, DAMPING = 0.01, 1e-5
 #: From this chance on a sentence counts as about a subject.
 CHANCE = 0.4
 
@@ -225,7 +227,7 @@ def _descend(spark, data: DataFrame, subjects: int, size: int, rounds: int, rate
     """Embeddings, outputs and offsets after so many rounds of full gradients,
     summed over all partitions (Adam)."""
     rng = np.random.default_rng(seed)
-    params = start or [rng.normal(0, 0.1, (size, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, subjects)).astype(np.float32), np.full(subjects, -2.0, dtype=np.float32)]
+    params = start or [rng.normal(0, INIT, (size, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, subjects)).astype(np.float32), np.full(subjects, -2.0, dtype=np.float32)]
     params = [x.copy() for x in params]
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, rounds + 1):
@@ -246,7 +248,7 @@ def _descend(spark, data: DataFrame, subjects: int, size: int, rounds: int, rate
             g += decay * x if x.ndim > 1 else 0
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
-            x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+            x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + DAMPING)
     return params
 
 
@@ -263,7 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str =
         return Model([], np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, bool))
     some = labels.filter(F.col("subject").isin(names) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.sort_array(F.collect_set(number[F.col("subject")])).alias("labels"))
     some = some.orderBy(F.xxhash64("key"), "key").limit(labelled_docs)
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("key")).select(F.col(text_col).alias("text"), "labels", F.xxhash64("key").alias("doc"))
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(some), "key").select("text", "labels", F.xxhash64("key").alias("doc"))
     scratch = Scratch(spark)
     data = scratch.keep(rows.mapInArrow(_prepare, "doc long, labels array<int>, features array<int>").repartition(6, "doc"))
     counts = np.zeros(BUCKETS, dtype=np.int64)
