@@ -13,7 +13,7 @@ from .encoding import encode, token_counts
 from .mixing import mix_sources
 from .names import link_names, linked_pairs
 from .neardup import near_duplicate_pairs
-from .spans import expand_pairs, shared_coverage, shared_span_pairs
+from .spans import expand_pairs, repeated_lines, shared_coverage, shared_span_pairs
 from .splitting import split_oversized
 from .subjects import assign_subjects, train
 from .survivors import Field, current_rows, descending, survivorship
@@ -32,6 +32,22 @@ def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("record_id").alias("chapter_id"), F.size("spans").alias("n_spans"), "shared_chars", "n_chars", "coverage", "copies")
 
 
+def p1_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that repeat one of an earlier chapter, with their places."""
+    out = repeated_lines(table(spark, d, "chapters"))
+    return out.select(F.col("record_id").alias("chapter_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("first_id").alias("first_chapter_id"), F.col("first_start").alias("first_start_char"))
+
+
+P1_REPEATS_SQL = r"""
+WITH c AS (SELECT DISTINCT id, content FROM chapters WHERE id IS NOT NULL AND content IS NOT NULL),
+l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM c),
+p AS (SELECT id, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos FROM l),
+u AS (SELECT *, trim(regexp_replace(line, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS unit FROM p),
+g AS (SELECT *, first_value(id) OVER w AS first_id, first_value(pos) OVER w AS first_pos FROM u WHERE length(unit) >= 80 WINDOW w AS (PARTITION BY unit ORDER BY id, pos))
+SELECT id AS chapter_id, pos AS start_char, CAST(pos + length(line) AS INT) AS end_char, first_id AS first_chapter_id, first_pos AS first_start_char FROM g WHERE id <> first_id OR pos <> first_pos
+"""
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Chapters of which the sets of 5-character shingles are alike at 0.8."""
     pairs, members = near_duplicate_pairs(table(spark, d, "chapters"), similarity=0.8, measure="plain", k=5, min_chars=120)
@@ -180,11 +196,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_coverage, p2_found, p2_groups, p3_found, p4_found, p5_found, p6_found, p6_pieces,
+        p1_found, p1_coverage, p1_repeats, p2_found, p2_groups, p3_found, p4_found, p5_found, p6_found, p6_pieces,
         p7_found, p7_entities, p8_ids, p9_mix, p9_report, p10_found,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+    return {"p1_repeats": P1_REPEATS_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}

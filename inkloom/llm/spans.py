@@ -10,6 +10,7 @@ are compared exactly.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from ..plans.durable import Scratch
 from ..plans.sized import keep_keys
 from . import kernels as K
 
+#: A unit found in more places than this is met by the runs around it instead.
+HOT_UNIT = 64
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -39,11 +42,39 @@ def _unit_postings(unit: int, min_length: int):
                 cps, lengths = K.codepoints(texts[lo:hi])
                 at, h = K.winnow(cps, lengths, unit, min_length - unit + 1)
                 owner = np.searchsorted(np.cumsum(lengths), at, side="right") + lo
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digests, pa.binary()).take(pa.array(owner))], ["h", "d"])
+                start = at - (np.cumsum(lengths) - lengths)[owner - lo]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digests, pa.binary()).take(pa.array(owner)), pa.array(start.astype(np.int32))], ["h", "d", "at"])
 
     return run
 
 
+def _windows(unit: int, min_length: int):
+    """Hashes of all runs of min_length characters around the units of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, places, text in zip(*(c.to_pylist() for c in batch.columns)):
+                h = K.gram_hashes(K.codepoints([text])[0], min_length)
+                around = np.asarray(places, dtype=np.int64)[:, None] - np.arange(min_length - unit + 1)
+                around = np.unique(around[(around >= 0) & (around < len(h))])
+                yield pa.RecordBatch.from_arrays([pa.array(h[around].view(np.int64)), pa.array([d] * len(around), pa.binary())], ["h", "d"])
+
+    return run
+
+
+def _in_several(postings: DataFrame) -> DataFrame:
+    """Postings (h, d, ...) whose h occurs with another d. Neighbours in the order
+    of (h, d) tell: one shuffle, and a group is streamed, never held."""
+    w = Window.partitionBy("h").orderBy("d")
+    near = postings.withColumn("before", F.lag("d").over(w)).withColumn("after", F.lead("d").over(w))
+    return near.filter((F.col("before") != F.col("d")) | (F.col("after") != F.col("d"))).drop("before", "after")
+
+
+def _met(groups: DataFrame) -> DataFrame:
+    left, right = groups.select("h", F.col("d").alias("d1")), groups.select("h", F.col("d").alias("d2"))
+    return left.join(right, "h").filter(F.col("d1") < F.col("d2")).select("d1", "d2").distinct()
+
+
 def _runs(mask: np.ndarray, reach: int) -> list[dict]:
     """Ranges of characters covered by the windows at the true positions."""
     at = np.flatnonzero(mask)
@@ -85,6 +116,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str, min_length: int) -> Data
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= min_length)).withColumn("d", _digest("text"))
 
 
+def _hot(shared: DataFrame) -> DataFrame:
+    return shared.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_UNIT).select("h")
+
+
 def shared_span_pairs(df: DataFrame, id_col: str = "id", text_col: str = "content", min_length: int = 200, unit: int = 80) -> tuple[DataFrame, DataFrame]:
     """Pairs of different texts with a common run of at least min_length
     characters, and the members of each text.
@@ -99,18 +134,19 @@ def shared_span_pairs(df: DataFrame, id_col: str = "id", text_col: str = "conten
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = _classes(df, id_col, text_col, min_length)
-    postings = rows.select("d", "text").mapInArrow(_unit_postings(unit, min_length), "h long, d binary")
-    # neighbours in the order of (h, d) tell whether a unit occurs in another
-    # text: one shuffle, and a group is streamed, never held
-    w = Window.partitionBy("h").orderBy("d")
-    shared = (
-        postings.withColumn("before", F.lag("d").over(w)).withColumn("after", F.lead("d").over(w))
-        .filter((F.col("before") != F.col("d")) | (F.col("after") != F.col("d")))
-        .select("h", "d").distinct()
-    )
-    shared = scratch.keep(shared)
-    left, right = shared.select("h", F.col("d").alias("d1")), shared.select("h", F.col("d").alias("d2"))
-    pairs = scratch.keep(left.join(right, "h").filter(F.col("d1") < F.col("d2")).select("d1", "d2").distinct())
+    postings = rows.select("d", "text").mapInArrow(_unit_postings(unit, min_length), "h long, d binary, at int")
+    shared = scratch.keep(_in_several(postings).distinct())
+    pairs = _met(shared.select("h", "d").distinct().join(_hot(shared), "h", "left_anti"))
+    hot = shared.join(_hot(shared), "h", "left_semi").groupBy("d").agg(F.collect_set("at").alias("places"))
+    hot = scratch.keep(hot)
+    if not hot.isEmpty():
+        # a unit of very many texts is no evidence by itself: these are met by the
+        # whole runs of min_length characters around it, which makes each meeting
+        # a true one
+        texts = keep_keys(rows.select("d", "text"), hot.select("d"), "d").groupBy("d").agg(F.first("text").alias("text"))
+        windows = hot.join(texts, "d").select("d", "places", "text").mapInArrow(_windows(unit, min_length), "h long, d binary")
+        pairs = pairs.union(_met(scratch.keep(_in_several(windows).distinct()))).distinct()
+    pairs = scratch.keep(pairs)
     wanted = scratch.keep(pairs.select(F.col("d1").alias("d")).union(pairs.select("d2")).distinct())
     texts = keep_keys(rows.select("d", "text"), wanted, "d").groupBy("d").agg(F.first("text").alias("text"))
     both = pairs.join(texts.select(F.col("d").alias("d1"), F.col("text").alias("t1")), "d1").join(texts.select(F.col("d").alias("d2"), F.col("text").alias("t2")), "d2")
@@ -153,3 +189,35 @@ def shared_coverage(df: DataFrame, id_col: str = "id", text_col: str = "content"
         members.select("d", "id").join(merged, "d").join(ids, "d")
         .select(F.col("id").alias("record_id"), "spans", "shared_chars", F.col("n_chars").cast("long").alias("n_chars"), (F.col("shared_chars") / F.col("n_chars")).alias("coverage"), "copies")
     )
+
+
+def _lines(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, ends, digests = [], [], [], []
+            for i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                at = 0
+                for line in text.split("\n"):
+                    unit = " ".join(line.split())
+                    if len(unit) >= least:
+                        ids.append(i)
+                        starts.append(at)
+                        ends.append(at + len(line))
+                        digests.append(hashlib.md5(unit.encode("utf-8", "surrogatepass")).digest())
+                    at += len(line) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], ["id", "start", "end", "h"])
+
+    return run
+
+
+def repeated_lines(df: DataFrame, id_col: str = "id", text_col: str = "content", least: int = 80) -> DataFrame:
+    """record_id, start, end, first_id, first_start: every line of at least `least`
+    characters (runs of white space as one) that repeats an earlier one, with its
+    place in the text as stored and the occurrence that is kept: the one of the
+    smallest record id, then the first in it. Nulls take no part; repeated rows
+    count once; empty input gives an empty frame."""
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    lines = Scratch(df.sparkSession).keep(rows.mapInArrow(_lines(least), "id string, start int, end int, h binary").distinct())
+    first = lines.groupBy("h").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    out = lines.join(first, "h").filter((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
+    return out.select(F.col("id").alias("record_id"), "start", "end", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))

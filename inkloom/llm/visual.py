@@ -168,8 +168,11 @@ def lookalike_pairs(df: DataFrame, id_col: str = "id", text_col: str = "content"
     rows = rows.withColumn("stored", F.md5("text"))
     forms = rows.mapInArrow(_batches(["id", "stored"], True), "id string, stored string, canonical string").distinct()
     forms = Scratch(df.sparkSession).keep(forms)
-    mixed = forms.groupBy("canonical").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("canonical")
-    some = forms.join(mixed, "canonical", "left_semi")
-    left, right = (some.select("canonical", F.col("id").alias(x), F.col("stored").alias(f"stored_{x}")) for x in "xy")
-    met = left.join(right, "canonical").filter((F.col("x") < F.col("y")) & (F.col("stored_x") != F.col("stored_y")))
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    # the different texts of one form are paired first, then given their ids: equal
+    # texts, however many, are never paired
+    texts = forms.select("canonical", "stored").distinct()
+    left, right = texts.select("canonical", F.col("stored").alias("s1")), texts.select("canonical", F.col("stored").alias("s2"))
+    pairs = left.join(right, "canonical").filter(F.col("s1") < F.col("s2")).select("s1", "s2")
+    ids = forms.select("stored", "id")
+    met = pairs.join(ids.select(F.col("stored").alias("s1"), F.col("id").alias("x")), "s1").join(ids.select(F.col("stored").alias("s2"), F.col("id").alias("y")), "s2").filter(F.col("x") != F.col("y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

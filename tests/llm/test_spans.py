@@ -1,6 +1,7 @@
 import random
 
-from inkloom.llm.spans import expand_pairs, shared_coverage, shared_span_pairs
+from inkloom.llm import spans
+from inkloom.llm.spans import expand_pairs, repeated_lines, shared_coverage, shared_span_pairs
 
 SCHEMA = "id string, content string, d string, h long, text string"
 
@@ -39,6 +40,14 @@ def test_against_brute_force(spark):
     assert ("a", "b") in found(spark, rows) and not any("short" in p for p in found(spark, rows))
 
 
+def test_unit_of_very_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT_UNIT", 5)
+    notice, long = text(150, 21), text(230, 22)
+    rows = [(f"n{k:02d}", text(60, 100 + k) + notice + text(80, 200 + k)) for k in range(30)] + [(f"l{k:02d}", text(k, 300 + k) + long + text(9, 400 + k)) for k in range(12)]
+    rows += [("m1", text(70, 5) + notice + text(90, 6)), ("m2", text(40, 5)[10:] + text(70, 5)[-30:] + notice + text(90, 6))]
+    assert found(spark, rows) == brute(rows) and len(brute(rows)) >= 66
+
+
 def test_random_texts_of_few_letters(spark):
     rows = [(f"r{k:02d}", text(400, k % 7, "ab") + text(random.Random(k).randrange(200), k)) for k in range(24)]
     assert found(spark, rows, 90) == brute(rows, 90)
@@ -56,3 +65,12 @@ def test_coverage_merges_stretches(spark):
     assert [(s.start, s.end) for s in out["a"].spans] == [(0, 250), (350, 570)]
     assert out["a"].shared_chars == 470 and abs(out["a"].coverage - 470 / 570) < 1e-9
     assert out["whole"].coverage == 1.0 and out["whole"].copies == 2
+
+
+def test_repeated_lines_keep_the_first(spark):
+    line = "A line that is long enough to count among the units of this text, if only just, more or less."
+    rows = [("b", f"x\n{line}\n{line}"), ("a", f"  {line.replace(' ', '  ')}\nshort"), ("c", None), ("a", f"  {line.replace(' ', '  ')}\nshort"), (None, line), ("d", "")]
+    out = sorted(tuple(r) for r in repeated_lines(frame(spark, rows)).collect())
+    n = len(line)
+    assert out == [("b", 2, 2 + n, "a", 0), ("b", 3 + n, 3 + 2 * n, "a", 0)]
+    assert repeated_lines(frame(spark, [])).count() == 0
