@@ -185,3 +185,37 @@ def text_diff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from ..operators.versions import diff_ratio
 
     return pd.Series([diff_ratio((x or "").split(), (y or "").split()) for x, y in zip(a, b)])
+
+
+#: Where a file name tells a number, tried in this order.
+FILE_NUMBERS = (
+    r"(?i)(?:v|vol\.?\s*)([0-9]+(?:\.[0-9]+)?)",
+    r"第([0-9]+(?:\.[0-9]+)?)(?:卷|章|册|部|集)",
+    r"(?i)(?:ch(?:apter)?\.?\s*)([0-9]+(?:\.[0-9]+)?)",
+    r"(?i)(?:book\s+)?([0-9]+(?:\.[0-9]+)?)\s*[-–—]",
+    r"[-–—\s]([0-9]+(?:\.[0-9]+)?)\s*$",
+    r"^([0-9]+(?:\.[0-9]+)?)\s*[-–—.]",
+)
+
+
+def file_stem(path: str) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, "([^/]+)$", 1), r"\.[^.]+$", "")
+
+
+def file_number(path: str) -> Column:
+    """The number a file name tells, by the first pattern that finds one."""
+    stem = file_stem(path)
+    return F.coalesce(*[F.nullif(F.regexp_extract(stem, p, 1), F.lit("")).cast("double") for p in FILE_NUMBERS])
+
+
+def title_author(path: str) -> Column:
+    """struct(title, author) of a file name: 《title》author, title by author,
+    author - title or title (author) with a short author, else the whole name."""
+    stem = F.trim(file_stem(path))
+    get = lambda p, i: F.trim(F.regexp_extract(stem, p, i))
+    marked, by, dash, paren = r"^《([^》]+)》(?:作者[:：]?\s*)?(.*)$", r"(?i)^(.+?)\s+by\s+(.+)$", r"^(.{1,10}?)\s+[-–—]\s+(.+)$", r"^(.+?)\s*[（(]([^（()）]{1,10})[)）]$"
+    made = lambda t, a: F.struct(t.alias("title"), F.nullif(a, F.lit("")).alias("author"))
+    return (
+        F.when(stem.rlike(marked), made(get(marked, 1), get(marked, 2))).when(stem.rlike(by), made(get(by, 1), get(by, 2)))
+        .when(stem.rlike(dash), made(get(dash, 2), get(dash, 1))).when(stem.rlike(paren), made(get(paren, 1), get(paren, 2))).otherwise(made(stem, F.lit("")))
+    )
