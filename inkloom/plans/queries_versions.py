@@ -19,22 +19,17 @@ from .register import registry
 QUERIES, SQL, query = registry()
 
 
-def _passages(spark, d, gram=P.GRAM):
-    a = V.passage_anchors(chapters(spark, d).filter("book_id is not null"), gram)
-    return Scratch(spark).keep(V.shared_hash_candidates(a.select("book_id", "hash"), V.MIN_SHARED_PASSAGES))
-
-
 @query()
 def passage_candidates(spark, d):
     """Books that share at least four winnowed passages."""
-    return _passages(spark, d)
+    a = V.passage_anchors(chapters(spark, d).filter("book_id is not null"))
+    return V.shared_hash_candidates(a.select("book_id", "hash"), V.MIN_SHARED_PASSAGES)
 
 
 @query()
 def passage_evidence(spark, d):
-    """Verified passages and combined evidence of the books that share four anchors
-    as long as the least segment: only for them texts are moved."""
-    return P.combined_pairs(_passages(spark, d, P.LEAST_SEGMENT), chapters(spark, d))
+    """The best chain of verified passages between any two books."""
+    return P.chained_passages(chapters(spark, d))
 
 
 @query()
