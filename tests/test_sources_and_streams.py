@@ -77,6 +77,26 @@ def test_scratch_and_sized_join(spark):
         spark.read.parquet(kept._inkloom_path).count()
 
 
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    """A session started in another folder, without a path to the repository."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from inkloom.plans.registry import queries
+print("ROWS", queries()["normalized_chapters"](s, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
 def drain(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
