@@ -43,7 +43,11 @@ def _unit_postings(unit: int, min_length: int):
                 at, h = K.winnow(cps, lengths, unit, min_length - unit + 1)
                 owner = np.searchsorted(np.cumsum(lengths), at, side="right") + lo
                 start = at - (np.cumsum(lengths) - lengths)[owner - lo]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digests, pa.binary()).take(pa.array(owner)), pa.array(start.astype(np.int32))], ["h", "d", "at"])
+                order = np.lexsort((start, h, owner))  # all places of a unit in a text are one row
+                owner, h, start = owner[order], h[order], start[order]
+                first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])))) if len(h) else order
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(start.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(digests, pa.binary()).take(pa.array(owner[first])), places], ["h", "d", "places"])
 
     return run
 
@@ -64,7 +68,8 @@ def _windows(unit: int, min_length: int):
 
 def _in_several(postings: DataFrame) -> DataFrame:
     """Postings (h, d, ...) whose h occurs with another d. Neighbours in the order
-    of (h, d) tell: one shuffle, and a group is streamed, never held."""
+    of (h, d) tell: one shuffle, and a group is streamed, never held. Of the rows
+    of one (h, d) not all are kept, so each must say all there is of it."""
     w = Window.partitionBy("h").orderBy("d")
     near = postings.withColumn("before", F.lag("d").over(w)).withColumn("after", F.lead("d").over(w))
     return near.filter((F.col("before") != F.col("d")) | (F.col("after") != F.col("d"))).drop("before", "after")
@@ -117,7 +122,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, min_length: int) -> Data
 
 
 def _hot(shared: DataFrame) -> DataFrame:
-    return shared.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_UNIT).select("h")
+    return shared.groupBy("h").agg(F.sum(F.size("places")).alias("n")).filter(F.col("n") > HOT_UNIT).select("h")
 
 
 def shared_span_pairs(df: DataFrame, id_col: str = "id", text_col: str = "content", min_length: int = 200, unit: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -134,10 +139,10 @@ def shared_span_pairs(df: DataFrame, id_col: str = "id", text_col: str = "conten
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = _classes(df, id_col, text_col, min_length)
-    postings = rows.select("d", "text").mapInArrow(_unit_postings(unit, min_length), "h long, d binary, at int")
+    postings = rows.select("d", "text").mapInArrow(_unit_postings(unit, min_length), "h long, d binary, places array<int>")
     shared = scratch.keep(_in_several(postings).distinct())
-    pairs = _met(shared.select("h", "d").distinct().join(_hot(shared), "h", "left_anti"))
-    hot = shared.join(_hot(shared), "h", "left_semi").groupBy("d").agg(F.collect_set("at").alias("places"))
+    pairs = _met(shared.select("h", "d").join(_hot(shared), "h", "left_anti"))
+    hot = shared.join(_hot(shared), "h", "left_semi").select("d", F.explode("places").alias("at")).groupBy("d").agg(F.collect_set("at").alias("places"))
     hot = scratch.keep(hot)
     if not hot.isEmpty():
         # a unit of very many texts is no evidence by itself: these are met by the

@@ -1,5 +1,7 @@
+import itertools
 import random
 
+from inkloom.llm import kernels as K
 from inkloom.llm import spans
 from inkloom.llm.spans import expand_pairs, repeated_lines, shared_coverage, shared_span_pairs
 
@@ -48,6 +50,18 @@ def test_unit_of_very_many_texts(spark, monkeypatch):
     assert found(spark, rows) == brute(rows) and len(brute(rows)) >= 66
 
 
+def test_every_place_of_a_hot_unit(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT_UNIT", 5)
+    # a refrain of so small a hash that it is the unit of every window that holds it
+    refrain = next(t for k in itertools.count() if K.gram_hashes(K.codepoints([t := text(80, k)])[0], 80)[0] < 1 << 52)
+    # m1 and m2 are 40 verses with it, of which only two in the middle are the same
+    verse = lambda k, v: text(20, f"{'both' if v in (19, 20) else k} {v}") + refrain
+    rows = [(f"m{k}", "".join(verse(k, v) for v in range(40))) for k in (1, 2)]
+    rows += [(f"n{k:02d}", text(200, f"{k}e") + refrain + text(200, f"{k}f")) for k in range(20)]
+    assert found(spark, rows) == brute(rows) == {("m1", "m2")}
+    assert found(spark, rows[:2] * 5 + rows) == {("m1", "m2")}
+
+
 def test_random_texts_of_few_letters(spark):
     rows = [(f"r{k:02d}", text(400, k % 7, "ab") + text(random.Random(k).randrange(200), k)) for k in range(24)]
     assert found(spark, rows, 90) == brute(rows, 90)
