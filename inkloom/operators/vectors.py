@@ -41,6 +41,37 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, item_id: str = "vec_id",
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest_of_all(items: DataFrame, k: int, item_id: str = "vec_id", vec: str = "embedding", rows: int = 2048) -> DataFrame:
+    """query_id, item_id, score: the k nearest others of every vector, by exact
+    cosine; the smaller id at a tie. Blocks of about so many vectors are met with
+    each other, and of a block k per vector are kept. Vectors of another length,
+    null, empty or of norm 0 are like nothing and take no part."""
+    import numpy as np
+    import pandas as pd
+
+    v = items.select(F.col(item_id).alias("i"), F.col(vec).cast("array<double>").alias("v")).filter(F.col("i").isNotNull() & (norm(F.col("v")) > 0))
+    blocks = max(1, -(-v.count() // rows))
+    packed = v.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks))).groupBy("b", F.size("v").alias("n")).agg(F.collect_list("i").alias("i"), F.flatten(F.collect_list("v")).alias("v"))
+    both = packed.select("n", F.col("i").alias("qi"), F.col("v").alias("qv")).join(packed, "n")
+
+    def run(parts):
+        for p in parts:
+            for n, qi, qv, i, x in zip(p["n"], p["qi"], p["qv"], p["i"], p["v"]):
+                unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+                s = np.round(unit(np.asarray(qv).reshape(-1, n)) @ unit(np.asarray(x).reshape(-1, n)).T, 9)
+                qi, i = np.asarray(qi), np.asarray(i)
+                s[qi[:, None] == i[None, :]] = -np.inf
+                order = np.argsort(i, kind="stable")  # a stable sort leaves ties in order of id
+                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
+                out = pd.DataFrame({"query_id": np.repeat(qi, best.shape[1]), item_id: i[best].reshape(-1), "score": np.take_along_axis(s, best, 1).reshape(-1)})
+                yield out[out["score"] > -np.inf]
+
+    kind = dict(items.dtypes)[item_id]
+    some = both.select("n", "qi", "qv", "i", "v").mapInPandas(run, f"query_id {kind}, {item_id} {kind}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), item_id)
+    return some.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def centroids(items: DataFrame, group: str, vec: str = "embedding", normalize: bool = False) -> DataFrame:
     """The mean vector of each group, of unit length if wanted."""
     each = items.select(group, F.posexplode(vec).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

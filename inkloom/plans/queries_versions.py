@@ -114,6 +114,14 @@ def vector_components(spark, d):
     return G.threshold_components(t.select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), F.lit(1.0).alias("weight")), 0.5)
 
 
+@query()
+def vector_groups(spark, d):
+    """Groups of vectors that are tied by the two nearest of every vector, as far
+    as these are alike at 0.6."""
+    t = X.nearest_of_all(table(spark, d, "embeddings"), 2)
+    return G.threshold_components(t.select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), F.col("score").alias("weight")), 0.6)
+
+
 @query()
 def file_names(spark, d):
     """Format, number, title and author as the files' names tell them."""

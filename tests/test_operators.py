@@ -56,6 +56,31 @@ def test_top_k_and_clusters(spark):
     assert X.kmeans_cosine(e.limit(0), 3).count() == 0
 
 
+def test_groups_of_all_vectors(spark, tmp_path):
+    """Every vector looks for its two nearest, and only likeness ties."""
+    import random
+
+    from inkloom.plans.queries_versions import vector_groups
+
+    r = random.Random(3)
+    near = lambda x, y: sum(p * q for p, q in zip(x, y)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+    v = {i: [r.gauss(0, 1) for _ in range(4)] for i in range(1, 62)} | {90: [0.0] * 4}
+    best = {i: sorted((-round(near(v[i], v[j]), 9), j) for j in v if j != i and j != 90)[:2] for i in v if i != 90}
+    out = {}
+    for q in X.nearest_of_all(spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>"), 2, rows=16).collect():
+        out.setdefault(q.query_id, set()).add(q.vec_id)
+    assert out == {i: {j for _, j in b} for i, b in best.items()}
+    spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    of = {i: i for i in v}
+    for _ in v:
+        for i, b in best.items():
+            for s, j in b:
+                if -s >= 0.6:
+                    of[i] = of[j] = min(of[i], of[j])
+    tied = {x for i, b in best.items() for s, j in b if -s >= 0.6 for x in (i, j)}
+    assert {q.node: q.component for q in vector_groups(spark, str(tmp_path)).collect()} == {i: of[i] for i in tied}
+
+
 def test_rrf(spark):
     lists = spark.createDataFrame([("k", "x", 3.0), ("k", "y", 2.0), ("s", "y", 0.9)], "source string, key string, score double")
     out = {r.key: r for r in X.rrf(lists, "key").collect()}
