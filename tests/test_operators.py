@@ -120,6 +120,16 @@ def test_graph(spark):
     assert abs(p[0].s - 0.775) < 1e-12 and abs(p[1].s - 0.5875) < 1e-12
 
 
+def test_paths_between_all_nodes(spark, tmp_path):
+    from inkloom.plans.queries_books import bounded_paths_all
+
+    m = [(f"b{k}", f" N{k + j} ") for k in range(8) for j in (0, 1)] + [("c", "x"), ("c", "Y"), (None, "z"), ("d", "alone"), ("d", " ")]
+    spark.createDataFrame(m, "book_id string, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    out = sorted(tuple(r) for r in bounded_paths_all(spark, str(tmp_path)).collect())
+    chain = [(f"n{i}", f"n{j}", abs(i - j)) for i in range(9) for j in range(9) if abs(i - j) <= 5]
+    assert out == sorted(chain + [("x", "x", 0), ("y", "y", 0), ("x", "y", 1), ("y", "x", 1)])
+
+
 def test_text_functions(spark):
     noisy = "正文。\n本文首发于笔趣阁，请支持正版\nsee http://x.y/z end\n\n\n\n\n\nlast\x07 line  "
     df = spark.createDataFrame([(noisy,), ("",), (None,)], "t string")
