@@ -156,13 +156,73 @@ def _verify(k: int, least: float, measure: str, idf):
     return run
 
 
+def _shingle_counts(k: int, min_chars: int):
+    """h, n: shingles and in how many of the texts read they are, summed over some
+    million at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+        for batch in batches:
+            for cps, lengths, _ in _stripped(batch.column(0).to_pylist(), min_chars):
+                held.append(K.shingle_sets(cps, lengths, k)[1])
+                if sum(map(len, held)) >= 1 << 22:
+                    yield summed()
+        if held:
+            yield summed()
+
+    return run
+
+
+def _shingle_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, t in zip(*(c.to_pylist() for c in batch.columns)):
+                cps, n = K.strip_spaces(*K.codepoints([t]))
+                _, h, tf = K.shingle_sets(cps, n, k)
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(h), pa.binary()), pa.array(h.astype(np.int64)), pa.array(tf.astype(np.int32))], ["d", "h", "tf"])
+
+    return run
+
+
+def _verify_true(least: float, docs: int):
+    """As _verify() by the weighted measure, from shingles with their true frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: list[list] = [[], [], [], []]
+
+            def shingles(i: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+                h, tf, n = (v.to_numpy(zero_copy_only=False) for v in batch.column(c)[i].values.flatten())
+                return h, idf_weights(n, docs) * (1 + np.log(tf))
+
+            for i in range(batch.num_rows):
+                (a, wa), (b, wb) = shingles(i, 2), shingles(i, 3)
+                same, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                low = np.minimum(wa[ia], wb[ib]).sum()
+                weighted = low / max(1e-12, wa.sum() + wb.sum() - low)
+                if weighted >= least:
+                    for o, v in zip(out, (x[i], y[i], len(same) / max(1, len(a) + len(b) - len(same)), weighted)):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], ["d1", "d2", "jaccard", "weighted_jaccard"])
+
+    return run
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "content", similarity: float = 0.8, measure: str = "weighted", k: int = 5, min_chars: int = 120, bands: int = 24, rows: int = 6) -> tuple[DataFrame, DataFrame]:
     """Pairs of different texts that are alike, and the members of each text.
 
     Returns (pairs, members): pairs(d1, d2, jaccard, weighted_jaccard), d1 < d2
     classes of texts equal but for white space; members(d, id). measure says
-    which similarity must reach the threshold: "weighted" (TF-IDF) or "plain"
-    (sets of shingles). A pair at the threshold meets in a band with a chance
+    which similarity must reach the threshold: "weighted" (TF-IDF, by true document
+    frequencies) or "plain" (sets of shingles; weighted_jaccard is then only told
+    by the hashed table). A pair at the threshold meets in a band with a chance
     above 0.998 if its weighted similarity is 0.8.
 
     White space is removed before all else; texts with fewer than min_chars
@@ -194,6 +254,14 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "con
     # one text of each class that is in a pair, fetched by the id that stands for it
     ids = scratch.keep(holders.select("id").distinct())
     texts = keep_keys(source, ids, "id").dropDuplicates(["id"]).join(holders, "id").select("d", "text")
+    if measure == "weighted":
+        # frequencies as they are, not as the table has them: of the shingles of these texts only
+        rows_of = scratch.keep(texts.mapInArrow(_shingle_rows(k), "d binary, h long, tf int"))
+        counts = source.select("text").mapInArrow(_shingle_counts(k, min_chars), "h long, n long")
+        true = counts.join(rows_of.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("n"))
+        each = scratch.keep(rows_of.join(true, "h").groupBy("d").agg(F.collect_list(F.struct("h", "tf", "n")).alias("s")))
+        both = pairs.join(each.select(F.col("d").alias("d1"), F.col("s").alias("s1")), "d1").join(each.select(F.col("d").alias("d2"), F.col("s").alias("s2")), "d2")
+        return scratch.keep(both.select("d1", "d2", "s1", "s2").mapInArrow(_verify_true(similarity, docs), "d1 binary, d2 binary, jaccard double, weighted_jaccard double")), members
     both = pairs.join(texts.select(F.col("d").alias("d1"), F.col("text").alias("t1")), "d1").join(texts.select(F.col("d").alias("d2"), F.col("text").alias("t2")), "d2")
     found = both.select("d1", "d2", "t1", "t2").mapInArrow(_verify(k, similarity, measure, idf), "d1 binary, d2 binary, jaccard double, weighted_jaccard double")
     return scratch.keep(found), members

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from inkloom.llm.kernels import WHITE_SPACE
 from inkloom.llm.neardup import near_duplicate_pairs
@@ -55,3 +57,23 @@ def test_weighted_measure_and_empty(spark):
     base = prose(100, 3)
     assert found(spark, [("a", base), ("b", edited(base, 1, 2)), ("c", prose(100, 9))]) == {("a", "b")}
     assert found(spark, []) == set()
+
+
+def test_weighted_by_true_frequencies(spark):
+    """The similarity is that of exact counts, not of the hashed table."""
+    bases = [prose(60, 700 + k) for k in range(30)]
+    rows = [(f"{k:02d}a", b) for k, b in enumerate(bases)] + [(f"{k:02d}b", edited(b, 1 + k % 4, k)) for k, b in enumerate(bases)] + [("00a", bases[0])]
+    bag = [Counter(u[p : p + 5] for p in range(len(u) - 4)) for _, t in rows if (u := "".join(c for c in t if c not in SPACES))]
+    df = Counter(x for b in bag for x in b)
+
+    def weighted(i, j):
+        w = [{x: max(1.0, math.log((len(rows) + 1) / (df[x] + 1)) + 1) * (1 + math.log(n)) for x, n in bag[q].items()} for q in (i, j)]
+        low = sum(min(v, w[1][x]) for x, v in w[0].items() if x in w[1])
+        return low / (sum(w[0].values()) + sum(w[1].values()) - low)
+
+    true = {(f"{k:02d}a", f"{k:02d}b"): weighted(k, 30 + k) for k in range(30)}
+    pairs, members = near_duplicate_pairs(spark.createDataFrame(rows, "id string, content string"), similarity=0.6)
+    of = {r.d: r.id for r in members.collect()}
+    got = {tuple(sorted((of[r.d1], of[r.d2]))): r.weighted_jaccard for r in pairs.collect()}
+    assert len(got) > 5 and all(abs(true[p] - w) < 1e-9 for p, w in got.items())
+    assert {p for p, w in true.items() if w >= 0.75} <= set(got)
