@@ -81,6 +81,15 @@ def test_groups_of_all_vectors(spark, tmp_path):
     assert {q.node: q.component for q in vector_groups(spark, str(tmp_path)).collect()} == {i: of[i] for i in tied}
 
 
+def test_profile_of_all_vectors_of_a_label(spark, tmp_path):
+    from inkloom.plans.queries_versions import profile_recommendations
+
+    v = [(10, [1.0, 0.0], 1), (11, [0.0, 9.0], 1), (20, [0.0, 1.0], 2), (21, [1.0, 0.0], 2)]
+    spark.createDataFrame(v, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {(r.user, r["rank"]): r.vec_id for r in profile_recommendations(spark, str(tmp_path)).collect()}
+    assert out == {(1, 1): 20, (1, 2): 21, (2, 1): 11, (2, 2): 10}
+
+
 def test_rrf(spark):
     lists = spark.createDataFrame([("k", "x", 3.0), ("k", "y", 2.0), ("s", "y", 0.9)], "source string, key string, score double")
     out = {r.key: r for r in X.rrf(lists, "key").collect()}
