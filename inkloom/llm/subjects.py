@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def sentences(text: str | None) -> list[str]:
     if not text:
         return []
     parts = (p.strip() for p in _SENTENCE.split(text.replace("\r", "\n")))
-    return [p for p in parts if sum(map(str.isalpha, p[:40])) >= 3]
+    return [p for p in parts if sum(1 for _ in islice(filter(str.isalpha, p), 3)) == 3]
 
 
 def _spread(x: np.ndarray) -> np.ndarray:

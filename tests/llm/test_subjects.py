@@ -47,3 +47,8 @@ def test_sentences_and_features():
     assert sentences(None) == [] == sentences("🙂 ..")
     b, o = features(["the court", "the court", "", "法庭里"])
     assert (b[o == 0] == b[o == 1]).all() and not (o == 2).any() and (o == 3).sum() == 3
+
+
+def test_letters_after_a_long_rule_count():
+    rule = "=" * 60 + " The judge spoke."
+    assert sentences(rule) == [rule] and sentences("=" * 60 + " ab") == [] == sentences("1 2 3 " * 20)
