@@ -140,50 +140,64 @@ def bin_of(h: np.ndarray, bins: int) -> np.ndarray:
     return ((h >> np.uint64(16)) * np.uint64(bins)) >> np.uint64(32)
 
 
-def icws_signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int, bins: int) -> np.ndarray:
-    """Improved consistent weighted sampling, one sample in each of the bins
-    that the shingle hashes are dealt to; docs x bins values.
-
-    Two texts get the same value in a bin with the probability of their
-    weighted Jaccard similarity within it. The variates r, c ~ Gamma(2, 1) and
-    beta ~ U(0, 1) of a shingle come from its hash; a text's shingles are met
-    once, not once per sample. An empty bin borrows the value of the next bin
-    that isn't empty (rotation). doc and h ordered as by shingle_sets()."""
-    out = np.zeros((docs, bins), dtype=np.uint64)
-    if not len(h):
-        return out
-    scale = 1.0 / (1 << 32)
-    low = np.uint64(0xFFFFFFFF)
+def _variates(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and beta of each shingle, from its hash: r, c ~ Gamma(2, 1), beta ~ U(0, 1)."""
+    scale, low = 1.0 / (1 << 32), np.uint64(0xFFFFFFFF)
     a, b, c = mix(h, 1), mix(h, 2), mix(h, 3)
     unit = lambda x: (x.astype(np.float64) + 0.5) * scale
     r = -np.log(unit(a >> np.uint64(32)) * unit(a & low))
     gamma = -np.log(unit(b >> np.uint64(32)) * unit(b & low))
-    beta = unit(c & low)
-    t = np.floor(np.log(weight) / r + beta)
-    ln_a = np.log(gamma) - r * (t - beta) - r
+    return r, np.log(gamma), unit(c & low)
+
+
+def _rotate(out: np.ndarray) -> None:
+    """Empty bins of each row borrow the value of the next bin that isn't empty."""
+    rows = np.flatnonzero((out == 0).any(axis=1) & (out != 0).any(axis=1))
+    if not len(rows):
+        return
+    some, bins = out[rows], out.shape[1]
+    at = np.where(some != 0, np.arange(bins), 3 * bins)
+    twice = np.concatenate((at, at + bins), axis=1)  # a full bin beyond the end is one of the start
+    ahead = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    row, empty = np.nonzero(some == 0)
+    full = ahead[row, empty]
+    some[row, empty] = mix(some[row, full % bins], 5) + (full - empty).astype(np.uint64)
+    out[rows] = some
+
+
+def icws_signatures(doc: np.ndarray, h: np.ndarray, weights: list[np.ndarray | None], docs: int, bins: int) -> list[np.ndarray]:
+    """Improved consistent weighted sampling, one sample in each of the bins
+    that the shingle hashes are dealt to; docs x bins values for each weighting
+    (None: all shingles weigh the same).
+
+    Two texts get the same value in a bin with the probability of their
+    weighted Jaccard similarity within it. A text's shingles are met once, not
+    once per sample, and all weightings share their variates. An empty bin borrows the
+    value of the next bin that isn't empty (rotation). doc and h ordered as by
+    shingle_sets()."""
+    every = [np.zeros((docs, bins), dtype=np.uint64) for _ in weights]
+    if not len(h):
+        return every
+    r, ln_c, beta = _variates(h)
     slot = doc * bins + bin_of(h, bins).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
     sizes = np.diff(np.append(first, len(slot)))
-    win = np.flatnonzero(ln_a == np.repeat(np.minimum.reduceat(ln_a, first), sizes))
-    value = mix(h[win] ^ (t[win].astype(np.int64).view(np.uint64) << np.uint64(48)), 4) | np.uint64(1)
-    flat = out.reshape(-1)
-    flat[slot[win]] = value
-    for row in np.flatnonzero((out == 0).any(axis=1)):
-        full = np.flatnonzero(out[row])
-        if len(full):
-            empty = np.flatnonzero(out[row] == 0)
-            k = np.searchsorted(full, empty)
-            ahead = full[k % len(full)] + np.where(k == len(full), bins, 0)
-            out[row, empty] = mix(out[row, full[k % len(full)]], 5) + (ahead - empty).astype(np.uint64)
-    return out
-
-
-def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
-    """docs x bands: a hash of each run of so many signature values."""
+    for out, weight in zip(every, weights):
+        t = np.zeros(len(h)) if weight is None else np.floor(np.log(weight) / r + beta)
+        ln_a = ln_c - r * (t - beta) - r
+        win = np.flatnonzero(ln_a == np.repeat(np.minimum.reduceat(ln_a, first), sizes))
+        out.reshape(-1)[slot[win]] = mix(h[win] ^ (t[win].astype(np.int64).view(np.uint64) << np.uint64(48)), 4) | np.uint64(1)
+        _rotate(out)
+    return every
+
+
+def band_hashes(signatures: np.ndarray, rows: int, salt: int = 0) -> np.ndarray:
+    """docs x bands: a hash of each run of so many signature values. Bands of
+    another salt never meet these."""
     docs, bins = signatures.shape
     bands = bins // rows
     x = signatures[:, : bands * rows].reshape(docs, bands, rows)
-    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), (docs, bands)).copy()
+    out = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(salt << 32), (docs, bands)).copy()
     for i in range(rows):
         out = mix(out ^ x[:, :, i], 6)
     return out

@@ -4,7 +4,10 @@ shingles, banded, verified by weighted Jaccard similarity.
 Shingle statistics are counted over all texts in a table of fixed size (hashed
 document frequencies), signatures take one consistent weighted sample per bin
 of the shingle hashes, bands of them group texts, and every pair of texts that
-meets in a band is verified on its whole text.
+meets in a band is verified on its whole text. Where the similarity asked for is
+that of plain sets, a second set of bands samples the shingles with equal
+weights: texts that share what is common and differ in what is rare are far less
+alike by weight than as sets.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch
 from ..plans.sized import keep_keys
 from . import kernels as K
+from .meeting import in_several, meet
 
 #: Buckets of the table of document frequencies: 4 bytes each, whatever the corpus.
 DF_BITS = 18
@@ -100,7 +104,10 @@ def _members(min_chars: int):
     return run
 
 
-def _bands(k: int, min_chars: int, bins: int, rows: int, idf):
+def _bands(k: int, min_chars: int, bins: int, rows: int, idf, equal: bool):
+    """h, d, s: bands of each text of a batch, its class and its number of shingles;
+    with `equal` also bands for equal weights."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         for batch in batches:
@@ -111,7 +118,8 @@ def _bands(k: int, min_chars: int, bins: int, rows: int, idf):
                 ends = np.cumsum(lengths)
                 digests = [_class(cps[e - n : e]) for n, e in zip(lengths, ends)]
                 doc, h, tf = K.shingle_sets(cps, lengths, k)
-                bands = K.band_hashes(K.icws_signatures(doc, h, _weights(h, tf, table), len(lengths), bins), rows)
+                weights = [_weights(h, tf, table)] + [None] * equal
+                bands = np.hstack([K.band_hashes(x, rows, i) for i, x in enumerate(K.icws_signatures(doc, h, weights, len(lengths), bins))])
                 size = np.bincount(doc, minlength=len(lengths)).astype(np.int32)
                 new = np.zeros(len(lengths), dtype=bool)  # copies within a batch are met once
                 for i, d in enumerate(digests):
@@ -120,7 +128,7 @@ def _bands(k: int, min_chars: int, bins: int, rows: int, idf):
                         new[i] = True
                 pick = np.flatnonzero(new & (size > 0))
                 each = np.repeat(pick, bands.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(bands[pick].reshape(-1).view(np.int64)), pa.array(digests, pa.binary()).take(pa.array(each)), pa.array(size[each])], ["h", "d", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(bands[pick].reshape(-1).view(np.int64)), pa.array(digests, pa.binary()).take(pa.array(each)), pa.array(size[each])], ["h", "d", "s"])
 
     return run
 
@@ -222,8 +230,9 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "con
     classes of texts equal but for white space; members(d, id). measure says
     which similarity must reach the threshold: "weighted" (TF-IDF, by true document
     frequencies) or "plain" (sets of shingles; weighted_jaccard is then only told
-    by the hashed table). A pair at the threshold meets in a band with a chance
-    above 0.998 if its weighted similarity is 0.8.
+    by the hashed table). A pair whose similarity by that measure is 0.8 meets in a
+    band with a chance above 0.999 (24 bands of 6); no bucket has a cap, large
+    ones are met in blocks.
 
     White space is removed before all else; texts with fewer than min_chars
     other characters, null texts and null ids take no part. Repeated rows count
@@ -237,17 +246,12 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "con
     counts, docs = document_frequencies(source.select("text"), k, min_chars)
     idf = spark.sparkContext.broadcast(idf_weights(counts, docs))
     members = scratch.keep(source.mapInArrow(_members(min_chars), "id string, d binary").distinct())
-    postings = source.select("text").mapInArrow(_bands(k, min_chars, bands * rows, rows, idf), "h long, d binary, n int")
-    w = Window.partitionBy("h").orderBy("d")
-    shared = scratch.keep(
-        postings.withColumn("before", F.lag("d").over(w)).withColumn("after", F.lead("d").over(w))
-        .filter((F.col("before") != F.col("d")) | (F.col("after") != F.col("d")))
-        .select("h", "d", "n").distinct()
-    )
-    left, right = (shared.select("h", F.col("d").alias(f"d{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    met = left.join(right, "h").filter(F.col("d1") < F.col("d2"))
+    postings = scratch.keep(source.select("text").mapInArrow(_bands(k, min_chars, bands * rows, rows, idf, measure == "plain"), "h long, d binary, s int"))
+    shared = scratch.keep(in_several(postings).distinct())
+    scratch.drop(postings)
+    met = meet(shared, "s")
     if measure == "plain":  # of sets with that similarity, neither is much larger
-        met = met.filter(F.least("n1", "n2") >= F.lit(math.floor(similarity * 1e9) / 1e9) * F.greatest("n1", "n2"))
+        met = met.filter(F.least("s1", "s2") >= F.lit(math.floor(similarity * 1e9) / 1e9) * F.greatest("s1", "s2"))
     pairs = scratch.keep(met.select("d1", "d2").distinct())
     wanted = pairs.select(F.col("d1").alias("d")).union(pairs.select("d2")).distinct()
     holders = scratch.keep(members.join(wanted, "d", "left_semi").groupBy("d").agg(F.min("id").alias("id")))

@@ -1,11 +1,12 @@
 """Long exact spans shared between records.
 
-Units of text are hashed, digests grouped globally, and what occurs in more
-than one record is followed up. A stretch quoted from the middle of a line
-holds no whole line, so the units are windows of `unit` characters whose limits
-are set by the content itself (winnowing): any `min_length` characters two
-texts have in common contain a unit that both selected. Texts that share a unit
-are compared exactly.
+Units of text are hashed and their digests grouped globally. Lines come first:
+texts that hold the same line of at least `min_length` characters are linked by its
+digest alone. A stretch quoted from the middle of a line holds no whole line, so
+there are units of a second kind, runs of `unit` characters whose limits are set
+by the content itself (winnowing): any `min_length` characters two texts have in
+common contain a unit that both selected. Texts that share such a unit and no
+line are compared character by character.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import Scratch
 from ..plans.sized import keep_keys
 from . import kernels as K
+from .meeting import in_several, meet
 
 #: A unit found in more places than this is met by the runs around it instead.
 HOT_UNIT = 64
@@ -53,7 +55,7 @@ def _unit_postings(unit: int, min_length: int):
 
 
 def _windows(unit: int, min_length: int):
-    """Hashes of all runs of min_length characters around the units of a text."""
+    """Hashes and places of all runs of min_length characters around the units of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,25 +63,11 @@ def _windows(unit: int, min_length: int):
                 h = K.gram_hashes(K.codepoints([text])[0], min_length)
                 around = np.asarray(places, dtype=np.int64)[:, None] - np.arange(min_length - unit + 1)
                 around = np.unique(around[(around >= 0) & (around < len(h))])
-                yield pa.RecordBatch.from_arrays([pa.array(h[around].view(np.int64)), pa.array([d] * len(around), pa.binary())], ["h", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[around].view(np.int64)), pa.array([d] * len(around), pa.binary()), pa.array(around.astype(np.int32))], ["h", "d", "at"])
 
     return run
 
 
-def _in_several(postings: DataFrame) -> DataFrame:
-    """Postings (h, d, ...) whose h occurs with another d. Neighbours in the order
-    of (h, d) tell: one shuffle, and a group is streamed, never held. Of the rows
-    of one (h, d) not all are kept, so each must say all there is of it."""
-    w = Window.partitionBy("h").orderBy("d")
-    near = postings.withColumn("before", F.lag("d").over(w)).withColumn("after", F.lead("d").over(w))
-    return near.filter((F.col("before") != F.col("d")) | (F.col("after") != F.col("d"))).drop("before", "after")
-
-
-def _met(groups: DataFrame) -> DataFrame:
-    left, right = groups.select("h", F.col("d").alias("d1")), groups.select("h", F.col("d").alias("d2"))
-    return left.join(right, "h").filter(F.col("d1") < F.col("d2")).select("d1", "d2").distinct()
-
-
 def _runs(mask: np.ndarray, reach: int) -> list[dict]:
     """Ranges of characters covered by the windows at the true positions."""
     at = np.flatnonzero(mask)
@@ -90,6 +78,13 @@ def _runs(mask: np.ndarray, reach: int) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(starts, ends)]
 
 
+def _common(a: np.ndarray, b: np.ndarray, s: str, t: str, n: int) -> list[dict]:
+    """The stretches of s, of n characters or more, that t holds, from the hashes
+    of their runs; each is borne out by the characters themselves."""
+    found = _runs(np.isin(a, b), n)
+    return [r for r in found if any(s[r["start"] : r["start"] + n] == t[q : q + n] for q in np.flatnonzero(b == a[r["start"]]))]
+
+
 def _verify(min_length: int):
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -108,9 +103,8 @@ def _verify(min_length: int):
 
             for x, y, s, t in zip(d1, d2, t1, t2):
                 a, b = grams(x, s), grams(y, t)
-                in_a = np.isin(a, b)
-                if in_a.any():
-                    for o, v in zip(out, (x, y, _runs(in_a, min_length), _runs(np.isin(b, a), min_length))):
+                if in_a := _common(a, b, s, t, min_length):
+                    for o, v in zip(out, (x, y, in_a, _common(b, a, t, s, min_length))):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], spans), pa.array(out[3], spans)], ["d1", "d2", "spans1", "spans2"])
 
@@ -121,43 +115,67 @@ def _classes(df: DataFrame, id_col: str, text_col: str, min_length: int) -> Data
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= min_length)).withColumn("d", _digest("text"))
 
 
-def _hot(shared: DataFrame) -> DataFrame:
-    return shared.groupBy("h").agg(F.sum(F.size("places")).alias("n")).filter(F.col("n") > HOT_UNIT).select("h")
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    return keep_keys(rows.select("d", "text"), wanted, "d").groupBy("d").agg(F.first("text").alias("text"))
+
+
+def _units(scratch: Scratch, rows: DataFrame, min_length: int, unit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(few, many): postings of the units of several texts, and, in place of the
+    units found more than HOT_UNIT times, of all runs of min_length characters
+    around them that several texts hold (with their place, at).
+
+    What either leads to is the same: two texts with such a run in common hold
+    one of its units; by a unit of many texts they meet only if the run is the same."""
+    postings = scratch.keep(rows.select("d", "text").mapInArrow(_unit_postings(unit, min_length), "h long, d binary, places array<int>"))
+    shared = scratch.keep(in_several(postings, F.size("places")).distinct())
+    scratch.drop(postings)
+    hot = scratch.keep(shared.filter(F.col("n") > HOT_UNIT).select("d", F.explode("places").alias("at")).groupBy("d").agg(F.collect_set("at").alias("places")))
+    few = shared.filter(F.col("n") <= HOT_UNIT).select("h", "d", "n")
+    if hot.isEmpty():
+        return few, None
+    texts = _texts(rows, hot.select("d"))
+    windows = scratch.keep(hot.join(texts, "d").select("d", "places", "text").mapInArrow(_windows(unit, min_length), "h long, d binary, at int"))
+    many = scratch.keep(in_several(windows).distinct())
+    scratch.drop(windows)
+    return few, many
+
+
+def _lines_met(scratch: Scratch, rows: DataFrame, min_length: int) -> DataFrame:
+    """d1 < d2: texts that hold the same line of at least min_length characters."""
+    lines = rows.select("d", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= min_length)
+    return meet(in_several(scratch.keep(lines.select(_digest("line").alias("h"), "d").distinct())))
+
+
+def _compared(scratch: Scratch, rows: DataFrame, pairs: DataFrame, min_length: int) -> DataFrame:
+    wanted = scratch.keep(pairs.select(F.col("d1").alias("d")).union(pairs.select("d2")).distinct())
+    texts = _texts(rows, wanted)
+    both = pairs.join(texts.select(F.col("d").alias("d1"), F.col("text").alias("t1")), "d1").join(texts.select(F.col("d").alias("d2"), F.col("text").alias("t2")), "d2")
+    return scratch.keep(both.select("d1", "d2", "t1", "t2").mapInArrow(_verify(min_length), f"d1 binary, d2 binary, spans1 {SPANS}, spans2 {SPANS}"))
+
+
+def _members(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    return scratch.keep(rows.select("d", "id", F.length("text").alias("n_chars")).distinct())
 
 
 def shared_span_pairs(df: DataFrame, id_col: str = "id", text_col: str = "content", min_length: int = 200, unit: int = 80) -> tuple[DataFrame, DataFrame]:
     """Pairs of different texts with a common run of at least min_length
     characters, and the members of each text.
 
-    Returns (pairs, members): pairs(d1, d2, spans1, spans2) with d1 < d2 digests
-    of texts and the common stretches in characters of either text; members(d,
-    id, n_chars), one row per id and text. Equal texts are one class and meet
-    once. Rows with null id or null text, and texts shorter than min_length,
-    take no part; repeated rows count once; other columns of df are ignored.
-    Empty input gives empty frames.
+    Returns (pairs, members): pairs(d1, d2, by_line) with d1 < d2 digests of
+    texts, by_line whether a whole line links them; members(d, id, n_chars), one
+    row per id and text. Equal texts are one class and meet once. Rows with null
+    id or null text, and texts shorter than min_length, take no part; repeated
+    rows count once; other columns of df are ignored. Empty input gives empty
+    frames.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(df.sparkSession)
     rows = _classes(df, id_col, text_col, min_length)
-    postings = rows.select("d", "text").mapInArrow(_unit_postings(unit, min_length), "h long, d binary, places array<int>")
-    shared = scratch.keep(_in_several(postings).distinct())
-    pairs = _met(shared.select("h", "d").join(_hot(shared), "h", "left_anti"))
-    hot = shared.join(_hot(shared), "h", "left_semi").select("d", F.explode("places").alias("at")).groupBy("d").agg(F.collect_set("at").alias("places"))
-    hot = scratch.keep(hot)
-    if not hot.isEmpty():
-        # a unit of very many texts is no evidence by itself: these are met by the
-        # whole runs of min_length characters around it, which makes each meeting
-        # a true one
-        texts = keep_keys(rows.select("d", "text"), hot.select("d"), "d").groupBy("d").agg(F.first("text").alias("text"))
-        windows = hot.join(texts, "d").select("d", "places", "text").mapInArrow(_windows(unit, min_length), "h long, d binary")
-        pairs = pairs.union(_met(scratch.keep(_in_several(windows).distinct()))).distinct()
-    pairs = scratch.keep(pairs)
-    wanted = scratch.keep(pairs.select(F.col("d1").alias("d")).union(pairs.select("d2")).distinct())
-    texts = keep_keys(rows.select("d", "text"), wanted, "d").groupBy("d").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("d").alias("d1"), F.col("text").alias("t1")), "d1").join(texts.select(F.col("d").alias("d2"), F.col("text").alias("t2")), "d2")
-    found = scratch.keep(both.select("d1", "d2", "t1", "t2").mapInArrow(_verify(min_length), f"d1 binary, d2 binary, spans1 {SPANS}, spans2 {SPANS}"))
-    members = scratch.keep(rows.select("d", "id", F.length("text").alias("n_chars")).distinct())
-    return found, members
+    few, many = _units(scratch, rows, min_length, unit)
+    met = meet(few) if many is None else meet(few).union(meet(many.select("h", "d", "n").distinct()))
+    each = met.withColumn("by_line", F.lit(False)).union(_lines_met(scratch, rows, min_length).withColumn("by_line", F.lit(True)))
+    pairs = scratch.keep(each.groupBy("d1", "d2").agg(F.max("by_line").alias("by_line")))
+    compared = _compared(scratch, rows, pairs.filter("not by_line").select("d1", "d2"), min_length)
+    return pairs.filter("by_line").union(compared.select("d1", "d2", F.lit(False))), _members(scratch, rows)
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:
@@ -175,13 +193,21 @@ def shared_coverage(df: DataFrame, id_col: str = "id", text_col: str = "content"
     another one: record_id, spans (merged, in characters), shared_chars,
     n_chars, coverage (0..1), copies (records with the very same text).
 
-    A text that several ids hold is shared as a whole. Nulls, short texts,
-    repeated rows and empty input as in shared_span_pairs().
+    A text that several ids hold is shared as a whole. What very many texts
+    share is found without pairing them: a run is shared if its digest occurs
+    in several texts. Nulls, short texts, repeated rows and empty input as in
+    shared_span_pairs().
     """
-    pairs, members = shared_span_pairs(df, id_col, text_col, min_length, unit)
+    scratch = Scratch(df.sparkSession)
+    rows = _classes(df, id_col, text_col, min_length)
+    members = _members(scratch, rows)
+    few, many = _units(scratch, rows, min_length, unit)
+    pairs = _compared(scratch, rows, scratch.keep(meet(few).distinct()), min_length)
     ids = members.groupBy("d").agg(F.count("id").alias("copies"), F.first("n_chars").alias("n_chars"))
     whole = ids.filter("copies > 1").select("d", F.lit(0).alias("start"), F.col("n_chars").alias("end"))
     each = pairs.select(F.col("d1").alias("d"), F.explode("spans1").alias("s")).union(pairs.select("d2", F.explode("spans2"))).select("d", "s.start", "s.end").distinct().union(whole)
+    if many is not None:
+        each = each.union(many.select("d", F.col("at").alias("start"), (F.col("at") + min_length).alias("end")))
     order = Window.partitionBy("d").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     merged = (

@@ -47,6 +47,17 @@ def test_against_brute_force(spark):
     assert found(spark, rows, measure="plain") == brute(rows)
 
 
+def test_common_text_with_rare_edits(spark):
+    """Texts that share a common body are alike as sets, though far less by weight."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda n, seed: "".join(random.Random(seed).choices(letters, k=n))
+    body = own(1000, 1)
+    rows = [(f"{k:02d}", body[:600] + own(95, 50 + k) + body[600:]) for k in range(60)]
+    true = brute(rows)
+    got = found(spark, rows, measure="plain")
+    assert len(true) == 60 * 59 // 2 and got <= true and len(got) >= 0.98 * len(true)
+
+
 def test_long_text_and_repeats(spark):
     long = prose(20_000, 5)
     rows = [("a", long), ("b", edited(long, 40, 1)), ("c", "x" * 50_000), ("d", "x" * 40_000)]

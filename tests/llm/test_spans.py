@@ -1,8 +1,10 @@
 import itertools
 import random
 
+import pytest
+
 from inkloom.llm import kernels as K
-from inkloom.llm import spans
+from inkloom.llm import meeting, spans
 from inkloom.llm.spans import expand_pairs, repeated_lines, shared_coverage, shared_span_pairs
 
 SCHEMA = "id string, content string, d string, h long, text string"
@@ -31,6 +33,25 @@ def brute(rows, n=200):
     return {(a, b) for s in grams.values() for a in s for b in s if a < b}
 
 
+def brute_spans(rows, n=200):
+    grams = {}
+    for i, t in rows:
+        for p in range(len(t or "") - n + 1):
+            grams.setdefault(t[p : p + n], set()).add(i)
+    out = {}
+    for i, t in dict(rows).items():
+        spans = []
+        for p in range(len(t or "") - n + 1):
+            if len(grams[t[p : p + n]]) > 1:
+                if spans and p <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], p + n)
+                else:
+                    spans.append((p, p + n))
+        if spans:
+            out[i] = spans
+    return out
+
+
 def test_against_brute_force(spark):
     quote = text(200, 1)
     rows = [
@@ -62,6 +83,39 @@ def test_every_place_of_a_hot_unit(spark, monkeypatch):
     assert found(spark, rows[:2] * 5 + rows) == {("m1", "m2")}
 
 
+@pytest.mark.parametrize("hot", [5, 64, 10**9])
+def test_notice_several_times_in_each_text(spark, monkeypatch, hot):
+    """The result doesn't depend on when a unit counts as one of very many texts."""
+    monkeypatch.setattr(spans, "HOT_UNIT", hot)
+    notice, rows = text(150, 31), []
+    for k in range(45):  # both of a pair hold 210 equal characters around the second notice only
+        around = text(30, f"l{k}") + notice + text(30, f"r{k}")
+        for side in "ab":
+            own = lambda v: text(90, f"{k}{side}{v}")  # noqa: E731,B023
+            rows.append((f"{k:02d}{side}", own(1) + notice + own(2) + around + own(3) + notice + own(4)))
+    rows += [("again", rows[0][1]), ("again", rows[0][1])]
+    true = brute(rows)
+    assert len(true) >= 45 and found(spark, rows) == true
+    out = {r.record_id: [(s.start, s.end) for s in r.spans] for r in shared_coverage(frame(spark, rows)).collect()}
+    assert out == brute_spans(rows)
+
+
+def test_lines_link_whatever_the_places(spark):
+    line = text(205, 41)
+    rows = [("a", line), ("b", text(30, 42) + "\n" + line + "\n" + line), ("c", line[:199] + "\n" + text(300, 43)), ("d", None), ("e", "\n" * 400), ("f", "\n" * 300)]
+    assert found(spark, rows) == brute(rows) == {("a", "b"), ("e", "f")}
+    pairs, members = shared_span_pairs(frame(spark, rows))
+    assert pairs.filter("by_line").count() == 1
+
+
+def test_postings_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(meeting, "BLOCK", 3)
+    rows = [(h, f"{h}{k:02d}".encode()) for h, n in ((1, 1), (2, 2), (3, 3), (4, 11)) for k in range(n)]
+    met = meeting.meet(meeting.in_several(spark.createDataFrame(rows + rows[-1:], "h long, d binary")).distinct())
+    got = sorted((bytes(r.d1), bytes(r.d2)) for r in met.collect())
+    assert got == sorted((a, b) for h, a in rows for g, b in rows if h == g and a < b)
+
+
 def test_random_texts_of_few_letters(spark):
     rows = [(f"r{k:02d}", text(400, k % 7, "ab") + text(random.Random(k).randrange(200), k)) for k in range(24)]
     assert found(spark, rows, 90) == brute(rows, 90)
