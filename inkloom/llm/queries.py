@@ -92,8 +92,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The surviving book of each group, and whence its author and language."""
     groups = p4_found(spark, d)
     books = table(spark, d, "books").select(F.lower("id").alias("book_id"), "author", "language", "word_count", "metadata_quality", "updated_at")
-    members = groups.join(current_rows(books, "book_id", "updated_at"), "book_id", "left")
-    found = F.col("updated_at").isNotNull() | F.col("author").isNotNull() | F.col("language").isNotNull() | F.col("word_count").isNotNull() | F.col("metadata_quality").isNotNull()
+    members = groups.join(current_rows(books, "book_id", "updated_at").withColumn("in_books", F.lit(True)), "book_id", "left")
+    found = F.col("in_books")
     words = F.when(F.col("word_count") >= 0, F.col("word_count"))
     rank = [descending(words), descending(F.col("metadata_quality")), descending(F.unix_micros("updated_at")), F.col("book_id")]
     fields = [

@@ -94,9 +94,11 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, kind: str, limits
     text. forced is 1 if the text has more than max_chars characters on end
     without a boundary. Null ids, null texts and kinds without a limit take no
     part; repeated rows count once; an overlap that isn't less than max_chars
-    raises; empty input gives an empty frame.
+    raises, and so do several different limits for a kind; empty input gives an empty frame.
     """
-    lim = limits.filter(F.col("record_kind") == kind).select("record_kind", F.col("max_chars").cast("int").alias("max_chars"), F.greatest(F.lit(0), F.coalesce(F.col("overlap_chars"), F.lit(0))).cast("int").alias("overlap_chars")).filter("max_chars > 0").limit(1)
+    lim = limits.filter(F.col("record_kind") == kind).select("record_kind", F.col("max_chars").cast("int").alias("max_chars"), F.greatest(F.lit(0), F.coalesce(F.col("overlap_chars"), F.lit(0))).cast("int").alias("overlap_chars")).filter("max_chars > 0")
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).when(F.min(c).isNotNull(), F.raise_error(F.lit(f"several limits for {kind}")).cast("int")).alias(c)
+    lim = lim.groupBy("record_kind").agg(one("max_chars"), one("overlap_chars"))
     lim = lim.withColumn("overlap_chars", F.when(F.col("overlap_chars") < F.col("max_chars"), F.col("overlap_chars")).otherwise(F.raise_error(F.lit("overlap_chars must be less than max_chars")).cast("int")))
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     # one row of limits: the join is a broadcast of a single row

@@ -17,6 +17,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from ..plans.durable import Scratch
 from . import kernels as K
 
 BUCKETS, DIM = 1 << 16, 16
+#: Features whose gradients are summed as one block.
+BLOCK = 1 << 12
 #: Labelled documents used for training at most, taken by the hash of their ids.
 LABELLED_DOCS = 20_000
 #: Labelled documents a feature must occur in to count.
@@ -140,8 +143,9 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gradients(state, subjects: int):
-    """Sums over a partition: of the embeddings' gradient (of the features met),
-    of the outputs' and offsets' gradients, and the number of sentences."""
+    """block, part, sums of a partition: the embeddings' gradient in blocks of
+    features and, in the last one, the outputs' and offsets' gradients and the
+    number of sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, w, c = state.value
@@ -165,12 +169,25 @@ def _gradients(state, subjects: int):
                 first = np.flatnonzero(np.concatenate(([True], sb[1:] != sb[:-1])))
                 ge[sb[first]] += np.add.reduceat(dh[o[order]], first, axis=0)
             n += k
-        used = np.flatnonzero(np.abs(ge).sum(axis=1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in (used, ge[used], gw, gc)), pa.array([n], pa.int64())], ["at", "ge", "gw", "gc", "n"])
+        part = TaskContext.get().partitionId()
+        blocks = range(0, len(e), BLOCK)
+        held = [ge[i : i + BLOCK].tobytes() for i in blocks] + [np.concatenate((gw.ravel(), gc, [n])).astype(np.float32).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), pa.array([part] * len(held), pa.int32()), pa.array(held, pa.binary())], ["block", "part", "sums"])
 
     return run
 
 
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks over all partitions, in their order: the same on every run."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for block, part, x in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(block, []).append((part, x))
+    if held:
+        sums = [np.sum([np.frombuffer(x, np.float32) for _, x in sorted(parts)], axis=0).tobytes() for parts in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
+
+
 def _compact(known: np.ndarray):
     """Features that are known, numbered among these."""
     number = np.cumsum(known) - 1
@@ -233,17 +250,15 @@ def _descend(spark, data: DataFrame, subjects: int, size: int, rounds: int, rate
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, rounds + 1):
         shared = spark.sparkContext.broadcast(params)
-        # a row for each partition of the bounded sample, as large as the model at most
-        parts = data.mapInArrow(_gradients(shared, subjects), "at binary, ge binary, gw binary, gc binary, n long").collect()
+        # summed in executors: what comes to the driver is as large as the model
+        parts = data.mapInArrow(_gradients(shared, subjects), "block int, part int, sums binary").repartition(4, "block").mapInArrow(_total, "block int, sums binary")
+        got = [np.frombuffer(x, np.float32) for _, x in sorted((r["block"], r["sums"]) for r in parts.collect())]
         shared.destroy()
-        sums = [np.zeros_like(x) for x in params]
-        n = sum(r["n"] for r in parts)
-        if not n:
+        if not got or not got[-1][-1]:
             break
-        for r in parts:
-            sums[0][np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["ge"], np.float32).reshape(-1, DIM)
-            sums[1] += np.frombuffer(r["gw"], np.float32).reshape(sums[1].shape)
-            sums[2] += np.frombuffer(r["gc"], np.float32)
+        n, rest = got[-1][-1], got[-1][:-1]
+        cut = rest.size - params[2].size
+        sums = [np.concatenate(got[:-1]).reshape(params[0].shape) if len(got) > 1 else np.zeros_like(params[0]), rest[:cut].reshape(params[1].shape).copy(), rest[cut:].copy()]
         for x, g, a, b in zip(params, sums, m, v):
             g /= n
             g += decay * x if x.ndim > 1 else 0
@@ -265,11 +280,12 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str =
     if not names:
         return Model([], np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, bool))
     some = labels.filter(F.col("subject").isin(names) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.sort_array(F.collect_set(number[F.col("subject")])).alias("labels"))
-    some = some.orderBy(F.xxhash64("key"), "key").limit(labelled_docs)
+    scratch = Scratch(spark)
+    some = scratch.keep(some.orderBy(F.xxhash64("key"), "key").limit(labelled_docs))
+    partitions = max(2, some.count() // 2_500)
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(some), "key").select("text", "labels", F.xxhash64("key").alias("doc"))
-    scratch = Scratch(spark)
-    data = scratch.keep(rows.mapInArrow(_prepare, "doc long, labels array<int>, features array<int>").repartition(6, "doc"))
+    data = scratch.keep(rows.mapInArrow(_prepare, "doc long, labels array<int>, features array<int>").repartition(partitions, "doc"))
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for r in data.mapInArrow(_doc_counts, "counts binary").collect():  # a row for each of the sample's partitions
         counts += np.frombuffer(r["counts"], np.int32)

@@ -121,7 +121,7 @@ def _class_ranges(chars: list[str]) -> Iterator[str]:
 def _connection():
     import duckdb
 
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
     _, many, _ = tables()
     con.execute("CREATE TABLE mapping (c VARCHAR, t VARCHAR)")
     con.executemany("INSERT INTO mapping VALUES (?, ?)", [[c, t] for c, t in many.items()]) if many else None
