@@ -2,8 +2,8 @@
 
 Iterative operators write their state as Parquet under `spark.checkpoint.dir`
 and read it again: the result outlives any executor, nothing is computed twice
-and the files are compressed. Only where that setting is absent (tests) a
-folder of our own is used.
+and the files are compressed. Only where that setting is absent and the master is
+this machine (tests) a folder of our own is used.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _own:
         _own[sc.applicationId] = tempfile.mkdtemp(prefix="inkloom-")
     return "file://" + _own[sc.applicationId]

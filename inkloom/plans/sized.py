@@ -13,6 +13,6 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str, rows: int = BROADCAST_ROW
     """The rows of df whose key is among keys (distinct, already written).
 
     Up to so many keys are broadcast, so that the wide side isn't shuffled;
-    beyond, both sides are shuffled on the key."""
+    beyond, both sides are shuffled on the key and merged, which may spill."""
     few = keys.limit(rows + 1).count() <= rows
-    return df.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, "left_semi")
+    return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, "left_semi")
