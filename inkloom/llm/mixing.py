@@ -3,19 +3,40 @@
 Documents get hash-random keys; within each source they are taken in the order
 of their keys up to the source's exact budget of tokens, after as many whole
 rounds as it needs. Prefix sums are distributed: sums over ranges of keys first
-(a bounded number for each source), then over the documents of the one range
-in which the budget ends.
+(a bounded number for each source), then over the parts of the one range in
+which the budget ends, and so on until that range holds few documents.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch
 
-#: Ranges of keys for each source.
-RANGES = 4096
+#: Bits of the key that a range is divided by: 4,096 ranges for each source.
+BITS = 12
+#: Documents of a source that are sorted in one task at most.
+SORTED = 200_000
+
+
+FIELDS = ("id", "source", "size", "rounds", "extra")
+
+
+def _placed(scratch: Scratch, docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """docs(source, range, before, rest, ...), before being the tokens that precede
+    all of them, with the state of their range: in the budget's rest, out of it or
+    cut by it; before counts up to the range then."""
+    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.withColumn("upto", F.coalesce(F.sum("tokens").over(upto), F.lit(0)))
+    heads = docs.groupBy("source").agg(F.first("before").alias("start"), F.first("rest").alias("rest"))
+    starts = sums.join(heads, "source").withColumn("start", F.col("start") + F.col("upto"))
+    state = F.when(F.col("start") + F.col("tokens") <= F.col("rest"), "in").when(F.col("start") >= F.col("rest"), "out").otherwise("cut")
+    starts = scratch.keep(starts.select("source", "range", "start", state.alias("state")))
+    # at most as many rows as sources times ranges
+    return docs.join(F.broadcast(starts), ["source", "range"]).withColumn("before", F.col("start")).drop("start")
 
 
 def mix_sources(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens", seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +62,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", so
         sizes.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("size"))
         .filter("size > 0").join(F.broadcast(t.select("source")), "source", "left_semi").distinct()
         .withColumn("key", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
-        .withColumn("range", F.shiftrightunsigned("key", 52))
+        .withColumn("range", F.shiftrightunsigned("key", 64 - BITS))
     )
     docs = scratch.keep(docs)
     # at most as many rows as sources times ranges, from here to the budgets
@@ -53,18 +74,25 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", so
     budget = F.when(usable, F.least(F.round(F.lit(total or 0.0) * F.col("target_share")).cast("long"), F.col("have") * F.col("max_repeats"))).otherwise(0)
     plan = plan.withColumn("budget", budget).withColumn("rounds", F.when(F.col("have") > 0, F.floor(F.col("budget") / F.col("have"))).otherwise(0).cast("int"))
     plan = scratch.keep(plan.withColumn("rest", F.when(F.col("have") > 0, F.col("budget") - F.col("rounds") * F.col("have")).otherwise(0)))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).join(F.broadcast(plan.select("source", "rest", "rounds")), "source")
-    starts = scratch.keep(starts.withColumn("state", F.when(F.col("before") + F.col("tokens") <= F.col("rest"), "in").when(F.col("before") >= F.col("rest"), "out").otherwise("cut")))
-    # only the range in which a budget ends needs the order of its documents
-    placed = docs.join(starts.select("source", "range", "state", "before", "rest", "rounds"), ["source", "range"])
+    budgets = plan.select("source", "rest", "rounds")
+    pending = docs.join(F.broadcast(budgets), "source").withColumn("before", F.lit(0).cast("long"))
+    settled, shift = [], 64 - BITS
+    while True:
+        placed = _placed(scratch, pending, ranges)
+        settled.append(placed.filter("state <> 'cut'").withColumn("extra", (F.col("state") == "in").cast("int")).select(*FIELDS))
+        pending = scratch.keep(placed.filter("state = 'cut'").drop("state", "range"))
+        if shift < BITS or pending.groupBy("source").count().filter(F.col("count") > SORTED).isEmpty():
+            break
+        shift -= BITS
+        pending = pending.withColumn("range", F.shiftrightunsigned("key", shift).bitwiseAND((1 << BITS) - 1))
+        ranges = pending.groupBy("source", "range").agg(F.sum("size").alias("tokens"))
+    # only the last range in which a budget ends needs the order of its documents
     order = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = placed.filter("state = 'cut'").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    cut = pending.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     # taken if more than half of it lies below the budget; at a tie it is not
-    cut = cut.withColumn("extra", (2 * (F.col("rest") - F.col("at")) > F.col("size")).cast("int")).drop("at")
-    whole = placed.filter("state <> 'cut'").withColumn("extra", (F.col("state") == "in").cast("int"))
+    settled.append(cut.withColumn("extra", (2 * (F.col("rest") - F.col("at")) > F.col("size")).cast("int")).select(*FIELDS))
     copies = F.col("rounds") + F.col("extra")
-    mix = scratch.keep(whole.unionByName(cut).withColumn("copies", copies).filter("copies > 0").select("id", "source", "copies", "size"))
+    mix = scratch.keep(functools.reduce(DataFrame.union, settled).withColumn("copies", copies).filter("copies > 0").select("id", "source", "copies", "size"))
     used = mix.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     reached = used.agg(F.sum("tokens").alias("n")).first()["n"]
     report = t.join(used, "source", "left")

@@ -1,3 +1,4 @@
+from inkloom.llm import mixing
 from inkloom.llm.mixing import mix_sources
 
 TARGETS = "source string, target_share double, max_repeats int"
@@ -33,3 +34,12 @@ def test_nothing_to_mix(spark):
     assert mix == [] and rep == {}
     mix, _ = run(spark, [(1, "a", 5)], [("a", None, 1), ("b", 0.5, 0)])
     assert mix == []
+
+
+def test_ranges_are_refined(spark, monkeypatch):
+    """However small the ranges are made, the cut is the same."""
+    docs = [(i, "a", 3 + i % 5) for i in range(400)] + [(1000 + i, "b", 11) for i in range(300)]
+    targets = [("a", 0.4, 1), ("b", 0.6, 1)]
+    whole = run(spark, docs, targets)
+    monkeypatch.setattr(mixing, "SORTED", 0)
+    assert sorted(run(spark, docs, targets)[0]) == sorted(whole[0])
