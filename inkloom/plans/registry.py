@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_books, queries_library, queries_reading, queries_text, queries_vectors, queries_versions
+from . import queries_books, queries_library, queries_reading, queries_retrieval, queries_text, queries_vectors, queries_versions
 
-MODULES = (queries_books, queries_library, queries_reading, queries_text, queries_vectors, queries_versions)
+MODULES = (queries_books, queries_library, queries_reading, queries_retrieval, queries_text, queries_vectors, queries_versions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
