@@ -91,6 +91,12 @@ def _class(cps: np.ndarray) -> bytes:
     return hashlib.md5(cps.tobytes()).digest()
 
 
+def _short(d: bytes) -> int:
+    """The first 64 bits of a class, by which its bands name it. Classes that
+    share them are all fetched for a pair; only each other they wouldn't meet."""
+    return int.from_bytes(d[:8], "big", signed=True)
+
+
 def _members(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +111,7 @@ def _members(min_chars: int):
 
 
 def _bands(k: int, min_chars: int, bins: int, rows: int, idf, equal: bool):
-    """h, d, s: bands of each text of a batch, its class and its number of shingles;
+    """h, d, s: bands of each text of a batch, its class (64 bits) and its number of shingles;
     with `equal` also bands for equal weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +134,8 @@ def _bands(k: int, min_chars: int, bins: int, rows: int, idf, equal: bool):
                         new[i] = True
                 pick = np.flatnonzero(new & (size > 0))
                 each = np.repeat(pick, bands.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(bands[pick].reshape(-1).view(np.int64)), pa.array(digests, pa.binary()).take(pa.array(each)), pa.array(size[each])], ["h", "d", "s"])
+                short = np.array([_short(d) for d in digests], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bands[pick].reshape(-1).view(np.int64)), pa.array(short[each]), pa.array(size[each])], ["h", "d", "s"])
 
     return run
 
@@ -246,13 +253,17 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "con
     counts, docs = document_frequencies(source.select("text"), k, min_chars)
     idf = spark.sparkContext.broadcast(idf_weights(counts, docs))
     members = scratch.keep(source.mapInArrow(_members(min_chars), "id string, d binary").distinct())
-    postings = scratch.keep(source.select("text").mapInArrow(_bands(k, min_chars, bands * rows, rows, idf, measure == "plain"), "h long, d binary, s int"))
+    postings = scratch.keep(source.select("text").mapInArrow(_bands(k, min_chars, bands * rows, rows, idf, measure == "plain"), "h long, d long, s int"))
     shared = scratch.keep(in_several(postings).distinct())
     scratch.drop(postings)
     met = meet(shared, "s")
     if measure == "plain":  # of sets with that similarity, neither is much larger
         met = met.filter(F.least("s1", "s2") >= F.lit(math.floor(similarity * 1e9) / 1e9) * F.greatest("s1", "s2"))
-    pairs = scratch.keep(met.select("d1", "d2").distinct())
+    met = met.select(F.col("d1").alias("c1"), F.col("d2").alias("c2")).distinct()
+    short = F.conv(F.hex(F.substring("d", 1, 8)), 16, -10).cast("long")
+    classes = scratch.keep(members.select("d").distinct().select("d", short.alias("c")))
+    met = met.join(classes.select(F.col("d").alias("x"), F.col("c").alias("c1")), "c1").join(classes.select(F.col("d").alias("y"), F.col("c").alias("c2")), "c2")
+    pairs = scratch.keep(met.select(F.least("x", "y").alias("d1"), F.greatest("x", "y").alias("d2")).distinct())
     wanted = pairs.select(F.col("d1").alias("d")).union(pairs.select("d2")).distinct()
     holders = scratch.keep(members.join(wanted, "d", "left_semi").groupBy("d").agg(F.min("id").alias("id")))
     # one text of each class that is in a pair, fetched by the id that stands for it
