@@ -165,24 +165,24 @@ def _rotate(out: np.ndarray) -> None:
     out[rows] = some
 
 
-def icws_signatures(doc: np.ndarray, h: np.ndarray, weights: list[np.ndarray | None], docs: int, bins: int) -> list[np.ndarray]:
+def icws_signatures(doc: np.ndarray, h: np.ndarray, samples: list[tuple[np.ndarray | None, int]], docs: int) -> list[np.ndarray]:
     """Improved consistent weighted sampling, one sample in each of the bins
-    that the shingle hashes are dealt to; docs x bins values for each weighting
-    (None: all shingles weigh the same).
+    that the shingle hashes are dealt to; docs x bins values for each of the
+    samples (weights, bins); without weights all shingles weigh the same.
 
     Two texts get the same value in a bin with the probability of their
     weighted Jaccard similarity within it. A text's shingles are met once, not
     once per sample, and all weightings share their variates. An empty bin borrows the
     value of the next bin that isn't empty (rotation). doc and h ordered as by
     shingle_sets()."""
-    every = [np.zeros((docs, bins), dtype=np.uint64) for _ in weights]
+    every = [np.zeros((docs, bins), dtype=np.uint64) for _, bins in samples]
     if not len(h):
         return every
     r, ln_c, beta = _variates(h)
-    slot = doc * bins + bin_of(h, bins).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-    sizes = np.diff(np.append(first, len(slot)))
-    for out, weight in zip(every, weights):
+    for out, (weight, bins) in zip(every, samples):
+        slot = doc * bins + bin_of(h, bins).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        sizes = np.diff(np.append(first, len(slot)))
         t = np.zeros(len(h)) if weight is None else np.floor(np.log(weight) / r + beta)
         ln_a = ln_c - r * (t - beta) - r
         win = np.flatnonzero(ln_a == np.repeat(np.minimum.reduceat(ln_a, first), sizes))
@@ -192,14 +192,15 @@ def icws_signatures(doc: np.ndarray, h: np.ndarray, weights: list[np.ndarray | N
 
 
 def band_hashes(signatures: np.ndarray, rows: int, salt: int = 0) -> np.ndarray:
-    """docs x bands: a hash of each run of so many signature values. Bands of
-    another salt never meet these."""
+    """docs x bands: a hash of so many signature values each. Bands of another
+    salt never meet these. The values of a band lie as far apart as they can:
+    neighbours in a short text are often borrowed from the same bin."""
     docs, bins = signatures.shape
     bands = bins // rows
-    x = signatures[:, : bands * rows].reshape(docs, bands, rows)
+    x = signatures[:, : bands * rows].reshape(docs, rows, bands)
     out = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(salt << 32), (docs, bands)).copy()
     for i in range(rows):
-        out = mix(out ^ x[:, :, i], 6)
+        out = mix(out ^ x[:, i], 6)
     return out
 
 
