@@ -14,16 +14,22 @@ from pyspark.sql import functions as F
 BLOCK = 2_000
 
 
-def in_several(postings: DataFrame, size: Column | None = None) -> DataFrame:
+def in_several(postings: DataFrame, size: Column | None = None, told: Column | None = None) -> DataFrame:
     """The postings (h, d, ...), already written, whose h occurs with another d,
-    with n, the sum of size (1 by default) over the key. Texts are told apart by
-    a 64-bit hash of d here, for an aggregation in fixed memory with partial
-    results; no posting of such a key is left out."""
-    c = F.xxhash64("d")
-    keys = postings.groupBy("h").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.sum(F.lit(1) if size is None else size).alias("n")).filter("lo <> hi").select("h", "n")
+    with n, the sum of size over the key where size is given. Texts are told apart
+    by a hash of d (of 64 bits, or `told`), for an aggregation in fixed memory with
+    partial results; no posting of such a key is left out."""
+    c = F.xxhash64("d") if told is None else told
+    sums = [] if size is None else [F.sum(size).alias("n")]
+    keys = postings.groupBy("h").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), *sums).filter("lo <> hi").drop("lo", "hi")
     return postings.join(keys, "h")
 
 
+def counted(postings: DataFrame) -> DataFrame:
+    """postings with n, the number of those with their key."""
+    return postings.join(postings.groupBy("h").agg(F.count("*").alias("n")), "h")
+
+
 def meet(groups: DataFrame, *also: str) -> DataFrame:
     """d1 < d2: texts of (h, d, n, ...) with a key in common, each pair once per
     key, with the columns of `also` of either side (as x1, x2). n is the number of

@@ -135,7 +135,7 @@ def _units(scratch: Scratch, rows: DataFrame, min_length: int, unit: int) -> tup
         return few, None
     texts = _texts(rows, hot.select("d"))
     windows = scratch.keep(hot.join(texts, "d").select("d", "places", "text").mapInArrow(_windows(unit, min_length), "h long, d binary, at int"))
-    many = scratch.keep(in_several(windows).distinct())
+    many = scratch.keep(in_several(windows, F.lit(1)).distinct())
     scratch.drop(windows)
     return few, many
 
@@ -143,7 +143,7 @@ def _units(scratch: Scratch, rows: DataFrame, min_length: int, unit: int) -> tup
 def _lines_met(scratch: Scratch, rows: DataFrame, min_length: int) -> DataFrame:
     """d1 < d2: texts that hold the same line of at least min_length characters."""
     lines = rows.select("d", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= min_length)
-    return meet(in_several(scratch.keep(lines.select(_digest("line").alias("h"), "d").distinct())))
+    return meet(in_several(scratch.keep(lines.select(_digest("line").alias("h"), "d").distinct()), F.lit(1)))
 
 
 def _compared(scratch: Scratch, rows: DataFrame, pairs: DataFrame, min_length: int) -> DataFrame:

@@ -111,7 +111,7 @@ def test_lines_link_whatever_the_places(spark):
 def test_postings_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(meeting, "BLOCK", 3)
     rows = [(h, f"{h}{k:02d}".encode()) for h, n in ((1, 1), (2, 2), (3, 3), (4, 11)) for k in range(n)]
-    met = meeting.meet(meeting.in_several(spark.createDataFrame(rows + rows[-1:], "h long, d binary")).distinct())
+    met = meeting.meet(meeting.counted(meeting.in_several(spark.createDataFrame(rows + rows[-1:], "h long, d binary")).distinct()))
     got = sorted((bytes(r.d1), bytes(r.d2)) for r in met.collect())
     assert got == sorted((a, b) for h, a in rows for g, b in rows if h == g and a < b)
 
