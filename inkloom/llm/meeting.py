@@ -14,17 +14,29 @@ from pyspark.sql import functions as F
 BLOCK = 2_000
 
 
-def in_several(postings: DataFrame, size: Column | None = None, told: Column | None = None) -> DataFrame:
+def in_several(postings: DataFrame, size: Column | None = None) -> DataFrame:
     """The postings (h, d, ...), already written, whose h occurs with another d,
     with n, the sum of size over the key where size is given. Texts are told apart
-    by a hash of d (of 64 bits, or `told`), for an aggregation in fixed memory with
-    partial results; no posting of such a key is left out."""
-    c = F.xxhash64("d") if told is None else told
+    by a 64-bit hash of d, for an aggregation in fixed memory with partial results;
+    no posting of such a key is left out."""
+    c = F.xxhash64("d")
     sums = [] if size is None else [F.sum(size).alias("n")]
     keys = postings.groupBy("h").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), *sums).filter("lo <> hi").drop("lo", "hi")
     return postings.join(keys, "h")
 
 
+def in_several_once(postings: DataFrame) -> DataFrame:
+    """As in_several() for postings that aren't written: they are shuffled by h once,
+    and both the aggregation and the join read that shuffle. For keys that few texts
+    share (bands of similar texts, not boilerplate): one of very many texts is
+    streamed through a single task, in fixed memory."""
+    spread = postings.repartition("h")
+    # all columns are used on either side, so that the two are the same exchange
+    c = F.xxhash64(*[x for x in postings.columns if x != "h"])
+    keys = spread.groupBy("h").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).filter("lo <> hi").select("h")
+    return spread.join(keys.hint("merge"), "h")
+
+
 def counted(postings: DataFrame) -> DataFrame:
     """postings with n, the number of those with their key."""
     return postings.join(postings.groupBy("h").agg(F.count("*").alias("n")), "h")

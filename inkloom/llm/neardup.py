@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import Scratch
 from ..plans.sized import keep_keys
 from . import kernels as K
-from .meeting import counted, in_several, meet
+from .meeting import counted, in_several_once, meet
 
 #: Buckets of the table of document frequencies: 4 bytes each, whatever the corpus.
 DF_BITS = 18
@@ -260,10 +260,8 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "con
     counts, docs = document_frequencies(source.select("text"), k, min_chars)
     idf = spark.sparkContext.broadcast(idf_weights(counts, docs))
     members = scratch.keep(source.mapInArrow(_members(min_chars), "id string, d binary").distinct())
-    postings = scratch.keep(source.select("text").mapInArrow(_bands(k, min_chars, bands * rows, rows, idf, measure == "plain"), "h long, d long, s int"))
-    # 32 bits tell texts apart, others for each band: short rows for the largest shuffle
-    shared = scratch.keep(in_several(postings, told=F.hash("h", "d")).distinct())
-    scratch.drop(postings)
+    postings = source.select("text").mapInArrow(_bands(k, min_chars, bands * rows, rows, idf, measure == "plain"), "h long, d long, s int")
+    shared = scratch.keep(in_several_once(postings).distinct())
     met = meet(counted(shared), "s")
     if measure == "plain":  # of sets with that similarity, neither is much larger
         met = met.filter(F.least("s1", "s2") >= F.lit(math.floor(similarity * 1e9) / 1e9) * F.greatest("s1", "s2"))
