@@ -55,6 +55,28 @@ def language_profile(col: str) -> Column:
     return F.when(hangul / total > 0.15, "korean").when(kana / total > 0.15, "japanese").when(han / total > 0.3, "chinese").otherwise("english")
 
 
+#: Scripts as the detector by samples counts them.
+SAMPLED = {"japanese": r"\x{3040}-\x{30FF}", "korean": r"\x{AC00}-\x{D7AF}", "chinese": r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{2E80}-\x{2EFF}\x{3000}-\x{303F}"}
+
+
+def language_by_samples(col: str, size: int = 2000) -> Column:
+    """unknown, japanese, korean, chinese or english by the shares of scripts among
+    all characters of three samples of a text (its start, middle and end), or of
+    the whole of one no longer than two samples. Reading samples is what this
+    detector is; language_profile() reads everything."""
+    n = F.length(col)
+    parts = F.concat(F.substring(col, 1, size), F.substring(col, F.floor(n / 2).cast("int") - size // 2 + 1, F.lit(size)), F.substring(col, n - size + 1, F.lit(size)))
+    s = F.when(n <= 2 * size, F.col(col)).otherwise(parts)
+    share = {k: F.length(F.regexp_replace(s, f"[^{c}]", "")) / F.length(s) for k, c in SAMPLED.items()}
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "unknown").when(share["japanese"] > 0.05, "japanese").when(share["korean"] > 0.05, "korean").when(share["chinese"] > 0.1, "chinese").otherwise("english")
+
+
+def simple_word_count(col: str) -> Column:
+    """Han characters and, of the rest, runs of letters and digits; 0 for null."""
+    han, words = F.regexp_count(col, F.lit(r"[\x{4E00}-\x{9FFF}]")), F.regexp_count(F.regexp_replace(col, r"[\x{4E00}-\x{9FFF}]", " "), F.lit(r"[\p{L}\p{N}]+"))
+    return F.coalesce(han + words, F.lit(0))
+
+
 def token_estimate(col: str) -> Column:
     """Characters of Chinese, Japanese and Korean, words of Latin letters and
     digits, and punctuation, weighed; at least 1."""

@@ -17,8 +17,11 @@ def current_books(books: DataFrame) -> DataFrame:
     return latest_rows(books, ["id"], [F.desc_nulls_last("updated_at"), *rest])
 
 
-def current_chapters(chapters: DataFrame) -> DataFrame:
-    """One row per chapter id: the one ingested last."""
+def current_chapters(chapters: DataFrame, **measures: Column) -> DataFrame:
+    """One row per chapter id: the one ingested last. With measures, these are
+    taken in the scan and stand in for the content, which then is never shuffled."""
+    if measures:
+        chapters = chapters.select(*[c for c in chapters.columns if c != "content"], *[m.alias(n) for n, m in measures.items()])
     return latest_rows(chapters, ["id"], [F.desc_nulls_last("ingested_at")])
 
 
@@ -40,7 +43,7 @@ def library_stats(books: DataFrame, libraries: DataFrame) -> DataFrame:
 def word_count_check(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """Per book: the declared words, the characters its chapters really hold, the
     declared and the real number of chapters."""
-    real = current_chapters(chapters).groupBy("book_id").agg(F.coalesce(F.sum(visible_chars("content")), F.lit(0)).cast("long").alias("real_chars"), F.count("*").alias("real_chapters"))
+    real = current_chapters(chapters, visible=visible_chars("content")).groupBy("book_id").agg(F.coalesce(F.sum("visible"), F.lit(0)).cast("long").alias("real_chars"), F.count("*").alias("real_chapters"))
     return books.select(F.col("id").alias("book_id"), "word_count", "chapter_count").join(real, "book_id", "left").select("book_id", "word_count", "chapter_count", F.coalesce("real_chars", F.lit(0)).alias("real_chars"), F.coalesce("real_chapters", F.lit(0)).alias("real_chapters"))
 
 
@@ -84,11 +87,11 @@ def chapter_context(chapters: DataFrame, targets: DataFrame, width: int = 2) ->
 
 
 def macro_blocks(chapters: DataFrame, size: int = 25, least: int = 3) -> DataFrame:
-    """Blocks of so many consecutive chapters of a book; shorter rests than
-    `least` are dropped."""
+    """Blocks of so many consecutive chapters(book_id, chapter_index, id, chars) of
+    a book; shorter rests than `least` are dropped."""
     w = Window.partitionBy("book_id").orderBy("chapter_index", "id")
     numbered = chapters.withColumn("block", F.floor((F.row_number().over(w) - 1) / size))
-    return numbered.groupBy("book_id", "block").agg(F.count("*").alias("n"), F.min("chapter_index").alias("first_index"), F.max("chapter_index").alias("last_index"), F.sum(F.coalesce(F.length("content"), F.lit(0))).cast("long").alias("chars")).filter(F.col("n") >= least)
+    return numbered.groupBy("book_id", "block").agg(F.count("*").alias("n"), F.min("chapter_index").alias("first_index"), F.max("chapter_index").alias("last_index"), F.sum("chars").cast("long").alias("chars")).filter(F.col("n") >= least)
 
 
 def index_gaps(chapters: DataFrame) -> DataFrame:

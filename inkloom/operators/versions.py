@@ -243,6 +243,13 @@ def evaluate(labels: DataFrame, predictions: DataFrame, id_col: str = "pair_id")
     return m.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+def evaluation_summary(metrics: DataFrame) -> DataFrame:
+    """One row over evaluate()'s: accuracy, and macro-F1 over the classes with support."""
+    some = metrics.filter("support > 0")
+    f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("named") + F.col("support"))).otherwise(0.0)
+    return some.agg(F.sum("support").alias("n"), F.round(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg(f1), 6).alias("macro_f1"), F.count("*").alias("classes"))
+
+
 def minhash_signatures(texts: DataFrame, id_col: str, text_col: str, hashes: int = 128, shingle: int = 5) -> DataFrame:
     """id, signature: the least of `hashes` seeded hashes over the distinct
     character shingles; a text under one shingle is one shingle. Vectorised over

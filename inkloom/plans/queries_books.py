@@ -31,6 +31,11 @@ def chapters(spark, d):
     return C.current_chapters(table(spark, d, "chapters"))
 
 
+def measured_chapters(spark, d):
+    """Chapters with the number of their characters in place of the content."""
+    return C.current_chapters(table(spark, d, "chapters"), chars=F.coalesce(F.length("content"), F.lit(0)))
+
+
 @query(f"WITH {BOOKS} SELECT x.id AS book_a_id, y.id AS book_b_id, x.file_hash, coalesce(x.file_size_bytes = y.file_size_bytes, false) AS same_size FROM b x JOIN b y ON x.file_hash = y.file_hash AND x.id < y.id WHERE x.file_hash <> ''")
 def exact_duplicates(spark, d):
     return C.exact_file_pairs(books(spark, d))
@@ -93,7 +98,7 @@ def sort_names(spark, d):
 SELECT k.book_id, CAST(k.ti AS INT) AS target_index, c.chapter_index, c.id AS chapter_id, c.chapter_index = k.ti AS is_target FROM k JOIN c ON c.book_id = k.book_id AND c.chapter_index = k.i""")
 def context_window(spark, d):
     """Two chapters to either side of the third chapter of every book."""
-    c = chapters(spark, d)
+    c = measured_chapters(spark, d)
     targets = c.groupBy("book_id").agg((F.min("chapter_index") + 2).alias("chapter_index"))
     return C.chapter_context(c, targets, 2)
 
@@ -101,7 +106,7 @@ def context_window(spark, d):
 @query(f"""WITH {CHAPTERS}, n AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, id) - 1) // 25 AS block FROM c)
 SELECT book_id, block, count(*) AS n, min(chapter_index) AS first_index, max(chapter_index) AS last_index, CAST(sum(coalesce(length(content), 0)) AS BIGINT) AS chars FROM n GROUP BY 1, 2 HAVING count(*) >= 3""")
 def macro_windows(spark, d):
-    return C.macro_blocks(chapters(spark, d))
+    return C.macro_blocks(measured_chapters(spark, d))
 
 
 @query("""WITH x AS (SELECT DISTINCT book_id, chapter_index FROM chapters), i AS (SELECT *, chapter_index - row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) AS island FROM x), r AS (SELECT book_id, island, count(*) AS n FROM i GROUP BY ALL)
@@ -132,7 +137,7 @@ FROM (SELECT book_a, book_b, book_a AS book_id, 'a' AS side FROM p UNION ALL SEL
 def pair_sides(spark, d):
     """What either side of each pair holds: an OR join as two oriented branches."""
     p = V.canonical_pairs(table(spark, d, "duplicate_pairs")).select("book_a", "book_b")
-    per = chapters(spark, d).groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum(F.coalesce(F.length("content"), F.lit(0))).cast("long").alias("chars"))
+    per = measured_chapters(spark, d).groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum("chars").cast("long").alias("chars"))
     return either_key_join(p, "book_a", "book_b", per, "book_id").select("book_a", "book_b", "side", "chapters", "chars")
 
 
@@ -172,16 +177,6 @@ def entity_neighbours(spark, d):
     return G.neighbours(G.co_mention_edges(_mentions(spark, d), "book_id", "node"))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), starts AS (SELECT DISTINCT source AS node FROM w WHERE starts_with(source, 'dorothy')),
-h AS (SELECT node AS start, node, 0 AS distance FROM starts UNION SELECT h.start, w.target, h.distance + 1 FROM h JOIN w ON w.source = h.node WHERE h.distance < 3)
-SELECT start, node, min(distance) AS distance FROM h GROUP BY 1, 2""")
-def bounded_paths(spark, d):
-    """How far, up to three hops, every node is from those of one given name."""
-    e = G.co_mention_edges(_mentions(spark, d), "book_id", "node")
-    starts = G.both_ways(e).select(F.col("source").alias("node")).filter(F.startswith("node", F.lit("dorothy"))).distinct()
-    return G.hop_distances(e, starts, 3)
-
-
 @query()
 def bounded_paths_all(spark, d):
     """How far, up to five hops, every node is from every other."""

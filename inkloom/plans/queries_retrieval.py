@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import retrieval as Y
 from ..operators import search as S
 from ..operators import vectors as X
@@ -91,6 +92,14 @@ def trade_paths(spark, d):
     return Y.ranked_paths(Y.paths(e, e.select(F.col("source").alias("node")).distinct(), 4), ["n3", "n7"], 200)
 
 
+@query(f"""WITH RECURSIVE {TRADE}, w AS (SELECT source, target FROM ed UNION SELECT target, source FROM ed), h AS (SELECT DISTINCT source AS start, source AS node, 0 AS distance FROM w UNION SELECT h.start, w.target, h.distance + 1 FROM h JOIN w ON w.source = h.node WHERE h.distance < 5)
+SELECT start, node, min(distance) AS distance FROM h GROUP BY 1, 2""")
+def trade_distances(spark, d):
+    """How many steps, up to five, lead from each nation to each other one."""
+    e = _trade(spark, d).withColumn("weight", F.lit(1))
+    return G.hop_distances(e, G.both_ways(e).select(F.col("source").alias("node")))
+
+
 @query(f"WITH {TRADE} SELECT relation, count(*) AS n, max({WEIGHT}) AS weight FROM ed GROUP BY 1")
 def relation_weights(spark, d):
     return _trade(spark, d).groupBy("relation").agg(F.count("*").alias("n"), F.max(Y.relation_weight("relation")).alias("weight"))

@@ -24,6 +24,21 @@ def language_profile(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", T.language_profile("text").alias("detected"))
 
 
+def _share(chars: str) -> str:
+    return f"length(regexp_replace(s, '[^{chars}]', '', 'g')) / length(s)"
+
+
+@query(f"""WITH x AS (SELECT doc_id, CASE WHEN length(text) <= 4000 THEN text ELSE substr(text, 1, 2000) || substr(text, CAST(length(text) // 2 AS BIGINT) - 999, 2000) || substr(text, length(text) - 1999, 2000) END AS s FROM documents)
+SELECT doc_id, CASE WHEN coalesce(length(s), 0) = 0 THEN 'unknown' WHEN {_share(T.SAMPLED['japanese'])} > 0.05 THEN 'japanese' WHEN {_share(T.SAMPLED['korean'])} > 0.05 THEN 'korean' WHEN {_share(T.SAMPLED['chinese'])} > 0.1 THEN 'chinese' ELSE 'english' END AS detected FROM x""")
+def language_by_samples(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.language_by_samples("text").alias("detected"))
+
+
+@query("""SELECT doc_id, coalesce(len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]')) + len(regexp_extract_all(regexp_replace(text, '[\\x{4E00}-\\x{9FFF}]', ' ', 'g'), '[\\p{L}\\p{N}]+')), 0) AS words FROM documents""")
+def word_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.simple_word_count("text").alias("words"))
+
+
 @query()
 def clean_text(spark, d):
     """Cleaned text and noise of every parsed document."""
@@ -164,6 +179,17 @@ def minhash_lsh_pairs(spark, d):
     return V.lsh_candidates(sig)
 
 
+LABELLED = """l AS (SELECT doc_id, lang AS expected, CASE WHEN regexp_matches(text, '[\\x{AC00}-\\x{D7AF}]') THEN 'ko' WHEN regexp_matches(text, '[\\x{3040}-\\x{30FF}]') THEN 'ja' WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'zh' ELSE 'en' END AS predicted FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT expected AS relation, count(*) AS support, count(*) FILTER (WHERE expected = predicted) AS tp FROM l GROUP BY 1), n AS (SELECT predicted AS relation, count(*) AS named FROM l GROUP BY 1)"""
+
+
+@query(f"""WITH {LABELLED}, f AS (SELECT s.support, s.tp, coalesce(n.named, 0) AS named FROM s LEFT JOIN n USING (relation))
+SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(CASE WHEN tp > 0 THEN 2.0 * tp / (named + support) ELSE 0 END), 6) AS macro_f1, count(*) AS classes FROM f""")
+def eval_summary(spark, d):
+    """Accuracy, and the mean F1 over the classes that occur, of the same rule."""
+    return V.evaluation_summary(eval_metrics(spark, d))
+
+
 @query("""WITH l AS (SELECT doc_id, lang AS expected, CASE WHEN regexp_matches(text, '[\\x{AC00}-\\x{D7AF}]') THEN 'ko' WHEN regexp_matches(text, '[\\x{3040}-\\x{30FF}]') THEN 'ja' WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'zh' ELSE 'en' END AS predicted FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT expected AS relation, count(*) AS support, count(*) FILTER (WHERE expected = predicted) AS tp FROM l GROUP BY 1), n AS (SELECT predicted AS relation, count(*) AS named FROM l GROUP BY 1),
 m AS (SELECT relation, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(named, 0) AS named FROM s FULL JOIN n USING (relation)), r AS (SELECT *, CASE WHEN named > 0 THEN tp / named ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS q FROM m)

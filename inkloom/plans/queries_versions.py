@@ -104,17 +104,10 @@ def profile_recommendations(spark, d):
     return N.near_profile(N.weighted_profile(anchors, "user"), e.select("vec_id", "embedding"), seen, "user", "vec_id", least=-1.0)
 
 
-@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS s, b.vec_id AS t, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS w FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id % 20 = 0),
-k AS (SELECT s, t FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(w, 9) DESC, s) AS r FROM e) WHERE r <= 2), g AS (SELECT s, t FROM k UNION SELECT t, s FROM k),
-c(node, x) AS (SELECT DISTINCT s, s FROM g UNION SELECT g.t, c.x FROM c JOIN g ON g.s = c.node) SELECT node, min(x) AS component FROM c GROUP BY node""")
-def vector_components(spark, d):
-    """Groups of vectors that are tied by their two nearest."""
-    e = table(spark, d, "embeddings")
-    t = X.top_k(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 2)
-    return G.threshold_components(t.select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), F.lit(1.0).alias("weight")), 0.5)
-
-
-@query()
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS s, b.vec_id AS t, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 9) AS w FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+k AS (SELECT s, t FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY w DESC, s) AS r FROM e) WHERE r <= 2 AND w >= 0.6), g AS (SELECT s, t FROM k UNION SELECT t, s FROM k),
+reach(node, component) USING KEY (node) AS (SELECT s, s FROM g GROUP BY s UNION SELECT g.t, min(r.component) FROM reach r JOIN g ON r.node = g.s JOIN recurring.reach k ON k.node = g.t WHERE r.component < k.component GROUP BY g.t)
+SELECT node, component FROM reach""")
 def vector_groups(spark, d):
     """Groups of vectors that are tied by the two nearest of every vector, as far
     as these are alike at 0.6."""

@@ -16,7 +16,10 @@ from ..functions.lazy import arrow_function
 from ..functions.text import file_format
 
 #: Names that a library scan leaves out.
-EXCLUDED = (".*", "*.tmp", "*.part", "*.bak", "thumbs.db", "desktop.ini", "@eadir", "#recycle", "$recycle.bin", "__macosx")
+EXCLUDED = (
+    ".*", "Thumbs.db", "__MACOSX", "#recycle", "@eaDir", "@tmp", "@Recycle", ".@__thumb", "$RECYCLE.BIN", "System Volume Information", ".docker_temp",
+    "*.tmp", "*.partial", "~$*", "*.crdownload", "*.part",
+)
 SIDECARS = ("series.json", "metadata.json", "comicinfo.json")
 
 
