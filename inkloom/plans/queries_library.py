@@ -109,10 +109,10 @@ def filled_metadata(spark, d):
     return b.select(F.col("id").alias("book_id"), H.metadata_quality(b, "title", "author", "cover_path", "language", "library_id").alias("quality"))
 
 
-@query(f"WITH {BOOKS} SELECT id AS book_id, language, word_count FROM b WHERE language IN ('en', 'zh', 'ja') AND word_count >= 100 AND NOT coalesce(contains(lower(title), 'the'), false) AND status IS DISTINCT FROM 'archived' ORDER BY updated_at DESC NULLS LAST, id LIMIT 50")
+@query(f"WITH {BOOKS} SELECT id AS book_id, language, word_count FROM b WHERE language IN ('english', 'chinese', 'japanese') AND word_count >= 100 AND NOT coalesce(contains(lower(title), 'the'), false) AND status IS DISTINCT FROM 'archived' ORDER BY updated_at DESC NULLS LAST, id LIMIT 50")
 def smart_shelf(spark, d):
     """A shelf given by rules."""
-    rules = [("language", "in", ("en", "zh", "ja")), ("word_count", "gte", 100), ("title", "not_contains", "the"), ("status", "neq", "archived")]
+    rules = [("language", "in", ("english", "chinese", "japanese")), ("word_count", "gte", 100), ("title", "not_contains", "the"), ("status", "neq", "archived")]
     return H.smart_shelf(books(spark, d), rules).select(F.col("id").alias("book_id"), "language", "word_count")
 
 
