@@ -139,6 +139,35 @@ def test_paths_between_all_nodes(spark, tmp_path):
     assert out == sorted(chain + [("x", "x", 0), ("y", "y", 0), ("x", "y", 1), ("y", "x", 1)])
 
 
+def test_paths_between_all_nodes_write_no_pairs(spark, monkeypatch):
+    """The same distances however many mentions are held, and by classes nothing written per pair."""
+    import random
+
+    from inkloom.plans.durable import Scratch
+
+    r = random.Random(5)
+    rows = [(f"p{k}", f"n{r.randrange(60):02d}") for k in range(40) for _ in range(r.choice((1, 2, 4)))] + [("many", f"m{k:03d}") for k in range(300)] + [("p0", "m000"), (None, "n00"), ("p1", None)]
+    m = spark.createDataFrame(rows, "place string, node string")
+    at = {}
+    for p, n in rows:
+        if p and n:
+            at.setdefault(p, set()).add(n)
+    near = {n: {x for s in at.values() if n in s for x in s} for s in at.values() for n in s}
+    want = []
+    for n in near:
+        level, seen = {n}, {n: 0}
+        for h in range(1, 4):
+            level = {x for y in level for x in near[y]} - set(seen)
+            seen |= dict.fromkeys(level, h)
+        want += [(n, x, h) for x, h in seen.items() if len(near[n]) > 1]
+    written, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: written.append(keep(self, df)) or written[-1])
+    got = [tuple(x) for x in G.met_distances(m, "place", "node", 3).collect()]
+    assert sorted(got) == sorted(want) and sum(w.count() for w in written) < 2_000 < 90_000 < len(got)
+    assert sorted(tuple(x) for x in G.met_distances(m, "place", "node", 3, held=10).collect()) == sorted(want)
+    assert G.met_distances(m.limit(0), "place", "node").count() == 0
+
+
 def test_text_functions(spark):
     noisy = "正文。\n本文首发于笔趣阁，请支持正版\nsee http://x.y/z end\n\n\n\n\n\nlast\x07 line  "
     df = spark.createDataFrame([(noisy,), ("",), (None,)], "t string")
