@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch
@@ -149,8 +149,6 @@ COMPOUND_SURNAMES = {"欧阳", "歐陽", "司马", "司馬", "诸葛", "諸葛",
 COMMON_SURNAMES = (
     "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许邓韩冯曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏傅方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常"
 )
-#: A rewriting that fits more entities of a scope than this is no evidence at all.
-MOST_FITS = 8
 _HAN = re.compile("[㐀-鿿]")
 
 
@@ -483,6 +481,26 @@ def _distinct_hashes(nodes: DataFrame) -> bool:
     return nodes.groupBy(h.alias("h")).agg(F.min(again).alias("lo"), F.max(again).alias("hi")).filter("lo <> hi").isEmpty()
 
 
+def _best_entities(fitted: DataFrame, short: DataFrame, least_score: float) -> DataFrame:
+    """scope, kind, id, entity: the one entity with the highest sum of 1/n over the
+    forms of a record that it fits, if that reaches least_score.
+
+    An entity that fits only forms whose 1/n, summed from the least on, stay below
+    least_score can't reach it: those forms bring no candidates, they only add
+    to those of the others. So a form of n entities is joined to them only for
+    records of n * least_score forms or more, and most records aren't at all."""
+    record = ["scope", "kind", "id"]
+    # sums of fractions that differ by rounding only are the same
+    upto = F.round(F.sum(1 / F.col("n")).over(Window.partitionBy(*record).orderBy(F.desc("n"), "form").rowsBetween(Window.unboundedPreceding, Window.currentRow)), 9)
+    known = fitted.filter("n is not null").withColumn("upto", upto)
+    leading = known.filter(F.col("upto") >= least_score).select(*record, "form")
+    candidates = leading.join(short, ["scope", "kind", "form"]).select(*record, "entity").distinct()
+    scores = candidates.join(known.select(*record, "form", "n"), record).join(short, ["scope", "kind", "form", "entity"]).groupBy(*record, "entity").agg(F.round(F.sum(1 / F.col("n")), 9).alias("score"))
+    # at most as many reach least_score as the record has forms, divided by it
+    best = scores.filter(F.col("score") >= least_score).groupBy(*record).agg(F.sort_array(F.collect_list(F.struct("score", "entity")), False).alias("best"))
+    return best.filter((F.size("best") == 1) | (F.col("best")[0]["score"] > F.get("best", F.lit(1))["score"])).select(*record, F.col("best")[0]["entity"].alias("entity"))
+
+
 def link_names(df: DataFrame, scope: str, kind: str, id_col: str, names: F.Column, tables: Tables | None = None, least_score: float = 1.0) -> DataFrame:
     """id, entity_key: one row for each record that can be named, with the same
     entity_key for records of one scope and kind that denote the same entity.
@@ -492,8 +510,8 @@ def link_names(df: DataFrame, scope: str, kind: str, id_col: str, names: F.Colum
     forms of their names, and forms one slip of the pen apart to each other
     (Chinese names in Latin letters only if one of them isn't a reading that
     names of the data have). Shortened forms are scored by their rarity: one that
-    fits n entities of the scope speaks for each of them with 1/n, with nothing beyond
-    MOST_FITS; a record that has only such forms goes to the entity with the highest
+    fits n entities of the scope speaks for each of them with 1/n, however many; a
+    record that has only such forms goes to the entity with the highest
     sum if that reaches least_score and no other has as much. One whose forms
     fit only several entities stays alone, and forms that fit no full name link
     only records with the same one. No record is compared with all others of
@@ -529,15 +547,11 @@ def link_names(df: DataFrame, scope: str, kind: str, id_col: str, names: F.Colum
     fits = short.groupBy("scope", "kind", "form").agg(F.count("*").alias("n"))
     weak = forms.filter("level = 'part'").join(named.select("scope", "kind", "id"), ["scope", "kind", "id"], "left_anti")
     fitted = scratch.keep(weak.join(fits, ["scope", "kind", "form"], "left"))
-    rare = fitted.filter(F.col("n") <= MOST_FITS).join(short, ["scope", "kind", "form"])
-    scores = rare.groupBy("scope", "kind", "id", "entity").agg(F.sum(1 / F.col("n")).alias("score"))
-    # at most MOST_FITS entities for each form of a record
-    best = scores.groupBy("scope", "kind", "id").agg(F.sort_array(F.collect_list(F.struct("score", "entity")), False).alias("best"))
-    best = best.filter((F.col("best")[0]["score"] >= least_score) & ((F.size("best") == 1) | (F.col("best")[0]["score"] > F.get("best", F.lit(1))["score"])))
+    best = _best_entities(fitted, short, least_score)
     each = fitted.groupBy("scope", "kind", "id").agg(F.max(F.col("n").isNotNull()).alias("known"), F.min("form").alias("form")).join(best, ["scope", "kind", "id"], "left")
     alone = F.concat_ws("\u0001", "scope", "kind", F.lit("?"), "id")
     same = F.concat_ws("\u0001", "scope", "kind", F.lit("~"), "form")
-    attached = each.select("scope", "kind", "id", F.coalesce(F.col("best")[0]["entity"], F.when(F.col("known"), alone).otherwise(same)).alias("entity_key"))
+    attached = each.select("scope", "kind", "id", F.coalesce("entity", F.when(F.col("known"), alone).otherwise(same)).alias("entity_key"))
     return scratch.keep(named.union(attached).select("id", "entity_key").distinct())
 
 

@@ -90,6 +90,25 @@ def test_rarity_scores(spark):
     assert {tuple(r) for r in linked_pairs(link_names(df, "series_id", "kind", "id", F.col("names"))).collect()} == {("1", "4")}
 
 
+def test_rarity_scores_of_frequent_forms(spark):
+    """Forms that fit many entities each, or sums of sixths: nothing is left out or lost by rounding."""
+    others = [f"William Y{chr(97 + k)}{chr(97 + j)}rk" for k in range(3) for j in range(3)]
+    given = [("William", "W"), ("Edwin", "E")]
+    rows = [("target", [f"{g} {s}" for g, _ in given for s in ("Stone", "Quill", "Brand", "Frost", "Marsh")])]
+    shorts = [f"{i}. {s}" for _, i in given for s in ("Stone", "Quill", "Brand", "Frost", "Marsh")]
+    names = {"W": ["Walter", "Warren", "Wallace", "Winston", "Wendell", "Wilbur", "Wesley", "Warwick", "Wyatt"], "E": ["Edgar", "Edmund", "Elmer", "Ernest", "Ethan", "Evan", "Emmett", "Elias", "Ezra"]}
+    rows += [(f"{f} {s}", [f"{f} {s}"]) for i in "WE" for f in names[i][:8] for s in ("Stone", "Quill", "Brand", "Frost", "Marsh")]
+    rows += [("ten", shorts), ("eight", shorts[:8]), ("other", others)]
+    df = spark.createDataFrame([("s", "character", *r) for r in rows], "series_id string, kind string, id string, names array<string>")
+    links = {r.id: r.entity_key for r in link_names(df, "series_id", "kind", "id", F.col("names")).collect()}
+    # ten forms that fit nine entities each, of which one fits all: 10/9; with eight of them 8/9
+    assert links["ten"] == links["target"] and links["eight"] not in {links[i] for i in links if i != "eight"}
+    six = [("target", [f"William {s}" for s in ("Stone", "Quill", "Brand", "Frost", "Marsh", "Thorn")])] + [(f"{f} {s}", [f"{f} {s}"]) for f in names["W"][:5] for s in ("Stone", "Quill", "Brand", "Frost", "Marsh", "Thorn")]
+    six += [("six", [f"W. {s}" for s in ("Stone", "Quill", "Brand", "Frost", "Marsh", "Thorn")])]
+    df = spark.createDataFrame([("s", "character", *r) for r in six], "series_id string, kind string, id string, names array<string>")
+    assert {tuple(r) for r in linked_pairs(link_names(df, "series_id", "kind", "id", F.col("names"))).collect()} == {("six", "target")}
+
+
 def test_names_of_any_length(spark):
     long = "".join(chr(97 + k * k % 26) for k in range(200_000))
     assert linked(spark, [f"Ada {long}", f"Ada {long[:-1]}", "x", ""]) == {(f"Ada {long}", f"Ada {long[:-1]}")}
