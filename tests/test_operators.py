@@ -168,6 +168,23 @@ def test_paths_between_all_nodes_write_no_pairs(spark, monkeypatch):
     assert G.met_distances(m.limit(0), "place", "node").count() == 0
 
 
+def test_paths_between_all_nodes_take_few_bytes(spark, tmp_path, monkeypatch):
+    """Nearly all pairs are written in few bytes each, in the same rows at any division into tasks."""
+    import random
+    from pathlib import Path
+
+    r = random.Random(8)
+    m = spark.createDataFrame([(f"p{k}", f"name of {r.randrange(900):04d}") for k in range(400) for _ in range(4)], "place string, node string")
+    G.met_distances(m, "place", "node").coalesce(1).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    rows, written = out.count(), sum(x.stat().st_size for x in Path(tmp_path, "out").glob("*.parquet"))
+    assert rows > 250_000 and written < 0.9 * rows
+    for k, v in (("STARTS_AT_ONCE", 70), ("NAMES_AT_ONCE", 5_000), ("NODES_AT_ONCE", 9)):
+        monkeypatch.setattr(G, k, v)
+    again = G.met_distances(m, "place", "node")
+    assert again.rdd.getNumPartitions() > 30 and again.count() == rows and again.exceptAll(out).isEmpty()
+
+
 def test_text_functions(spark):
     noisy = "正文。\n本文首发于笔趣阁，请支持正版\nsee http://x.y/z end\n\n\n\n\n\nlast\x07 line  "
     df = spark.createDataFrame([(noisy,), ("",), (None,)], "t string")
